@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
+from . import toxicity
+from .bpe import encoding_digests
 from .common import table
 from .exact_dedup import exact_dedup
 from .fingerprint import fingerprint_edits, to_string
@@ -28,12 +32,29 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "source", "lang", "topic", "n_tokens", "fitted_share", "probability", "sampled")
 
 
+def training_rows(key: str = "doc_id"):
+    """Rows whose labels may be learnt: crc32 of the id's decimal text, modulo 3, is not 1."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % 3 != 1
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), usable=training_rows())
+    rows = toxicity.score(docs, model)
+    return rows.select("doc_id", F.coalesce(~training_rows(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     rows = kd_shards(docs.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")))))
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return encoding_digests(docs, path=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+
+
 ORACLE = {
     "op1_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
