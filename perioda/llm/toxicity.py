@@ -202,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
         pdf = pdf.drop_duplicates("__id").sort_values("__id", key=lambda s: (s * 2654435761) % 1000003, kind="stable")
         return pd.DataFrame({"model": [fit_model([t or "" for t in pdf["__text"]], [int(y) for y in pdf["__y"]])]})
 
-    found = sample.groupBy(F.lit(1)).applyInPandas(run, "model binary").first()
+    found = sample.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(run, "model binary").first()
     return bytes(found["model"]) if found else fit_model([], [])
 
 
