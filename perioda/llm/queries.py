@@ -14,6 +14,7 @@ from .exact_dedup import exact_dedup
 from .fingerprint import fingerprint_edits, to_string
 from .mixing import mix
 from .sharding import kd_shards
+from .warc import archive_pages
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +33,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "source", "lang", "topic", "n_tokens", "fitted_share", "probability", "sampled")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = archive_pages(spark, table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "warc_date")
+
+
 def training_rows(key: str = "doc_id"):
     """Rows whose labels may be learnt: crc32 of the id's decimal text, modulo 3, is not 1."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % 3 != 1
