@@ -12,13 +12,14 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import pieces
+from .chunks import keys, unpack
 
 LEAF = 4  # bytes that are merged directly
 REMEMBERED = 800_000  # pieces, in each Python worker
@@ -113,29 +114,31 @@ class Codec:
             self.remember(data, known)
         return known
 
+    def word(self, match: str) -> tuple[int, ...]:
+        """Ids of a match of the pattern; one that is a token as a whole is that token."""
+        data = match.encode()
+        whole = self.ranks.get(data)
+        return (whole,) if whole is not None else self.tree(data)
+
     def piece(self, text: str) -> tuple[int, ...]:
-        """Ids of a text by the pattern's matches; a match that is a token as a whole is that token."""
-        out: tuple[int, ...] = ()
-        plain = text.isalpha() or (text[:1] == " " and text[1:].isalpha())
-        for m in (text,) if plain else self.find(text):
-            data = m.encode()
-            whole = self.ranks.get(data)
-            out += (whole,) if whole is not None else self.tree(data)
-        return out
+        if text.isalpha() or (text[:1] == " " and text[1:].isalpha()):  # one match, without looking
+            return self.word(text)
+        return tuple(t for m in self.find(text) for t in self.word(m))
 
     def encode(self, text: str) -> list[int]:
-        cut, known = pieces(text), self.pieces
+        cut = keys(text)
         if cut is None:
-            cut = self.find(text)
+            return [t for m in self.find(text) for t in self.word(m)]
+        known = self.pieces
         try:
-            return [t for w in cut for t in known[w]]
+            return list(chain.from_iterable(map(known.__getitem__, cut)))
         except KeyError:
             if len(known) > REMEMBERED:
                 known.clear()
-            for w in cut:
-                if w not in known:
-                    known[w] = self.piece(w)
-            return [t for w in cut for t in known[w]]
+            for k in cut:
+                if k not in known:
+                    known[k] = tuple(t for p in unpack(k) for t in self.piece(p))
+            return list(chain.from_iterable(map(known.__getitem__, cut)))
 
     def decode(self, ids: list[int], block: int = 4096) -> bytes:
         """Bytes of the ids: blocks are concatenated, then neighbours pairwise up the tree."""

@@ -9,19 +9,16 @@ from __future__ import annotations
 
 import re
 
-MEET = re.compile(r"\s\s")
-
-
-def pieces(text: str) -> list[str] | None:
-    """Pieces of a text whose encodings concatenate to that of the text; None if white space meets in it."""
-    if MEET.search(text):
-        return None
-    out: list[str] = []
-    for i, line in enumerate(text.split("\n")):
-        if i:
-            out.append("\n")
-        first, *rest = line.split(" ")
-        if first:
-            out.append(first)
-        out += [" " + w for w in rest]
-    return out
+MEET = re.compile(r"\s\s|\0")
+
+
+def keys(text: str) -> list[str] | None:
+    """Keys of the pieces whose encodings concatenate to that of the text; None if white space meets in it (or it has a NUL)."""
+    return None if MEET.search(text) else ("\0" + text).replace("\n", " \n\0").split(" ")
+
+
+def unpack(key: str) -> list[str]:
+    """Pieces that a key stands for: the text's first word, a line end and the word after it, or a space and a word."""
+    if key[:1] == "\0":
+        return [key[1:]]
+    return ["\n", key[2:]] if key[:2] == "\n\0" else [" " + key]
