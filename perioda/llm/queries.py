@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fractions import Fraction
+
 import public_tokenizers
 
 from . import toxicity
@@ -12,6 +14,7 @@ from .bpe import encoding_digests
 from .common import table
 from .exact_dedup import exact_dedup
 from .fingerprint import fingerprint_edits, to_string
+from .minhash import near_duplicates
 from .mixing import mix
 from .sharding import kd_shards
 from .tokenstore import store_and_read
@@ -61,6 +64,10 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_read(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, least=Fraction(85, 100))
+
+
 def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return encoding_digests(docs, path=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
