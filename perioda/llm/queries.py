@@ -17,6 +17,7 @@ from .fingerprint import fingerprint_edits, to_string
 from .minhash import near_duplicates
 from .mixing import mix
 from .sharding import kd_shards
+from .suffix import remove_repeats
 from .tokenstore import store_and_read
 from .warc import archive_pages
 
@@ -42,6 +43,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "warc_date")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def training_rows(key: str = "doc_id"):
     """Rows whose labels may be learnt: crc32 of the id's decimal text, modulo 3, is not 1."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % 3 != 1
