@@ -2,4 +2,6 @@
 
 from __future__ import annotations
 
-from perioda.llm.stages import ORACLE_SQL, STAGES, run  # noqa: F401
+from perioda.llm.stages import ORACLE_SQL, STAGES, run
+
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
