@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import series_queries
+
 
 def queries() -> dict:
-    return {}
+    return dict(series_queries.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(series_queries.ORACLE)
