@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import series_queries
+from . import model_queries, series_queries
 
 
 def queries() -> dict:
-    return dict(series_queries.QUERIES)
+    return series_queries.QUERIES | model_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(series_queries.ORACLE)
+    return series_queries.ORACLE | model_queries.ORACLE
