@@ -27,7 +27,10 @@ def ln(x: Column) -> Column:
 
 
 def power(a: Column, b: Column) -> Column:
-    return clean(F.pow(a.cast("double"), b.cast("double")))
+    """a ** b; 1 for an exponent of 0 or a base of 1, whatever the other is, as IEEE has it."""
+    a, b = a.cast("double"), b.cast("double")
+    one = (b == 0) | (a == 1) | ((a == -1) & (F.abs(b) == INF))
+    return F.when(one, F.lit(1.0)).otherwise(clean(F.pow(a, b)))
 
 
 def floordiv(a: Column, b: Column) -> Column:

@@ -300,8 +300,10 @@ class TsFrame:
         w = self.whole()
         n, known, mean = F.count_if(base).over(w), F.count(F.when(base, F.col(V))).over(w), F.avg(F.when(base, F.col(V))).over(w)
         df = self.df.withColumns({"__n": n, "__k": known, "__m": mean})
-        bad = F.expr("case when __n = 0 then raise_error('the base year is absent') when __k < __n then raise_error('the base year has missing values') when __m = 0 then raise_error('the base year has mean 0') else 1D end")
-        return self.keep(df.withColumn(V, F.col(V) * (F.lit(100.0) / F.col("__m")) * bad))
+        value = F.expr("""case when __n = 0 then cast(raise_error('the base year is absent') as double)
+            when __k < __n then cast(raise_error('the base year has missing values') as double)
+            when __m = 0 then cast(raise_error('the base year has mean 0') as double) else value * (100D / __m) end""")
+        return self.keep(df.withColumn(V, value))
 
     def magnitude(self) -> DataFrame:
         """(series, magnitude): root of the sum of squares of what is not missing."""
