@@ -6,6 +6,7 @@ taken in decimals, so they don't depend on the order of rows.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import periods
 from ..operators.frame import T, TsFrame, V
 from ..operators.resample import convert
+from ..sources import exchange
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -200,6 +202,20 @@ for _m, _o in (("begin", 0), ("center", 1), ("end", 2)):
 ask("ts_interp_daily_begin", "om", lambda x: convert(convert(x, 1, "nsum"), 366, "interp_begin"), f"""SELECT series, t * 366 + k AS t, round(CASE WHEN k = 0 THEN value ELSE value + k * (nx - value) / 366 END, 4) AS value
     FROM (SELECT *, lead(value) {W_} AS nx FROM (SELECT series, t // 12 AS t, sum(value) AS value FROM om GROUP BY 1, 2 HAVING count(*) = 12)), (SELECT unnest(generate_series(0, 365)) AS k) WHERE k = 0 OR nx IS NOT NULL""")
 
+
+
+def through_text(x: TsFrame, merged: bool) -> TsFrame:
+    """The frame written to a file by the driver and read back."""
+    with tempfile.TemporaryDirectory() as folder:
+        exchange.write_text(x, f"{folder}/x.csv", merged=merged)
+        return exchange.read_text(x.df.sparkSession, f"{folder}/x.csv", merged=merged)[x.freq]
+
+
+ask("csv_round_trip_paired", "om", lambda x: through_text(x, False), rows_sql("value"))
+ask("csv_round_trip_merged", ("x",), lambda x: through_text(x, True), "SELECT '1-URGENT' AS series, t, round(value, 4) AS value FROM x")
+ask("pandas_round_trip", ("x",), lambda x: exchange.from_pandas(x.df.sparkSession, exchange.to_pandas(x)), "SELECT '1-URGENT' AS series, t, round(value, 4) AS value FROM x")
+ask("ts_map", "om", lambda x: x.map(lambda p: p.assign(value=p.value * 2)), rows_sql("value * 2"))
+
 BOTH = "x JOIN y ON x.t = y.t"
 for _n, _o, _fn in (("lt", "<", lambda a, b: a < b), ("le", "<=", lambda a, b: a <= b), ("gt", ">", lambda a, b: a > b), ("ge", ">=", lambda a, b: a >= b), ("eq", "=", lambda a, b: a == b), ("ne", "<>", lambda a, b: a != b)):
     ask(f"ts_compare_{_n}", ("x", "y"), lambda a, b, fn=_fn: a.combine_values(b, fn), f"SELECT 'result' AS series, x.t, x.value {_o} y.value AS value FROM {BOTH}")
