@@ -43,7 +43,7 @@ def _cut(points: DataFrame, level: int, ndim: int) -> DataFrame:
     spans = points.groupBy("__node").agg(F.sum("__weight").alias("all"), *width)
     best = F.greatest(*[F.col(f"s{i}") for i in range(ndim)]) if ndim > 1 else F.col("s0")
     axis = reduce(lambda rest, i: F.when(F.col(f"s{i}") == best, F.lit(i)).otherwise(rest), range(ndim - 1, -1, -1), F.lit(0))
-    found = spans.select("__node", "all", axis.alias("__axis"), F.lit(0).cast("long").alias("__prefix"), F.lit(0).cast("long").alias("__below"))
+    found = spans.select("__node", "all", axis.alias("__axis"), F.lit(0).cast("long").alias("__prefix"), F.lit(0).cast("long").alias("__below"), F.lit(0).cast("long").alias("__w"))
     code = reduce(lambda rest, i: F.when(F.col("__axis") == i, F.col(f"__d{i}")).otherwise(rest), range(ndim), F.lit(0).cast("long"))
     for r in range(ROUNDS):
         found = settle(found, f"kd-cut-{level}-{r}")  # a row for each node: fewer than the shards
@@ -54,9 +54,9 @@ def _cut(points: DataFrame, level: int, ndim: int) -> DataFrame:
         bins = bins.join(F.broadcast(found), "__node")
         run = bins.withColumn("upto", F.col("__below") + F.sum("w").over(W.partitionBy("__node").orderBy("__bin")))
         run = run.where(F.col("upto") * 2 >= F.col("all")).groupBy("__node").agg(F.min(F.struct("__bin", "upto", "w", "all", "__axis")).alias("x"))
-        found = run.select("__node", F.col("x.all").alias("all"), F.col("x.__axis").alias("__axis"), F.col("x.__bin").alias("__prefix"), (F.col("x.upto") - F.col("x.w")).alias("__below"))
-    near = F.abs(F.col("all") - 2 * F.col("__below")) > F.lit(0)
-    return found.select("__node", "__axis", (F.col("__prefix") + F.when(near, F.lit(1)).otherwise(F.lit(0))).alias("__cut"))
+        found = run.select("__node", F.col("x.all").alias("all"), F.col("x.__axis").alias("__axis"), F.col("x.__bin").alias("__prefix"), (F.col("x.upto") - F.col("x.w")).alias("__below"), F.col("x.w").alias("__w"))
+    left = F.abs(2 * (F.col("__below") + F.col("__w")) - F.col("all")) <= F.abs(2 * F.col("__below") - F.col("all"))  # the median itself: to the lighter side
+    return found.select("__node", "__axis", (F.col("__prefix") + left.cast("long")).alias("__cut"))
 
 
 def kd_shards(docs: DataFrame, *, shards: int = 16, text: str = "text", key: str = "doc_id", categories: tuple[str, ...] = ("source", "lang"), target_bytes: int | None = None) -> DataFrame:
