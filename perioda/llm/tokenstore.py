@@ -15,12 +15,14 @@ import os
 import struct
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,9 +30,10 @@ from pyspark.sql import functions as F
 from .chunks import keys, unpack
 from .common import id_blocks, new_folder, remove_folder, settle
 
-WINDOW, MEAN_BITS, LEAST, MOST = 16, 8, 32, 2048  # ids: of the rolling hash, log2 of the mean chunk, bounds of a chunk
+WINDOW, MEAN_BITS, LEAST, MOST = 16, 9, 64, 4096  # ids: of the rolling hash, log2 of the mean chunk, bounds of a chunk
 ROWS_PER_BLOCK = 2048
-REMEMBERED = 500_000
+REMEMBERED = 600_000
+SEGMENT = 1 << 16  # bytes of a pack that are compressed together, about
 DIGEST = 16
 MAGIC = b"IDPACK01"
 _encoders: dict[str, Encoder] = {}
@@ -47,6 +50,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -55,21 +59,32 @@ class Encoder:
         return _encoders[path]
 
     def packed(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype=f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """Packed ids of each text, without remembering."""
+        kind = "H" if self.width == 2 else "I"
+        return [struct.pack(f"<{len(ids)}{kind}", *ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for ids in (e.ids,)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text; pieces not remembered are encoded in one batch."""
+        """Packed ids of each text. Pieces are remembered in two generations: when the young one is full it becomes the old one, and what is
+        met again moves back to the young one; pieces in neither are encoded in one batch."""
+        if len(self.known) > REMEMBERED:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
         cuts = [keys(t) for t in texts]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list({k for cut in cuts if cut is not None for k in cut if k not in known})
+        found = [None if cut is None else list(map(known.get, cut)) for cut in cuts]
+        gaps = [(cut, ids, [i for i, x in enumerate(ids) if x is None]) for cut, ids in zip(cuts, found) if ids is not None and None in ids]
+        new = {cut[i] for cut, _, at in gaps for i in at}
+        for k in new.intersection(old):
+            known[k] = old[k]
+        new = [k for k in new if k not in known]
         parts = [unpack(k) for k in new]
-        found = iter(self.packed([p for x in parts for p in x]))
+        made = iter(self.packed([p for x in parts for p in x]))
         for k, x in zip(new, parts):
-            known[k] = b"".join(next(found) for _ in x)
+            known[k] = next(made) if len(x) == 1 else b"".join([next(made) for _ in x])
+        for cut, ids, at in gaps:
+            for i in at:
+                ids[i] = known[cut[i]]
         whole = iter(self.packed([t for t, cut in zip(texts, cuts) if cut is None]))
-        return [next(whole) if cut is None else b"".join(map(known.__getitem__, cut)) for cut in cuts]
+        return [next(whole) if ids is None else b"".join(ids) for ids in found]
 
 
 def cut_points(ids: np.ndarray) -> list[int]:
@@ -125,6 +140,16 @@ def get(folder: str, name: str) -> bytes:
         return f.read()
 
 
+def exists(folder: str, name: str) -> bool:
+    fs, base = pafs.FileSystem.from_uri(folder)
+    return fs.get_file_info(f"{base}/{name}").type == pafs.FileType.File
+
+
+def remove(folder: str, name: str) -> None:
+    fs, base = pafs.FileSystem.from_uri(folder)
+    fs.delete_file(f"{base}/{name}")
+
+
 def pack_name(block: int, kind: str) -> str:
     return f"block-{block:010d}.{kind}"
 
@@ -167,7 +192,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, *, text: str = "te
                 last, n = e, n + 1
             counts.append(n)
         keys_ = [None if pd.isna(k) else int(k) for k in pdf["__key"]]
-        body = zlib.compress(b"".join(pdf["ids"]), 1)
+        body = zstandard.compress(b"".join(pdf["ids"]), 1)
         table = struct.pack("<QQ", len(counts), len(lengths)) + b"".join(struct.pack("<?q", k is None, k or 0) for k in keys_)
         table += np.asarray(counts, "<u4").tobytes() + np.asarray(lengths, "<u4").tobytes() + b"".join(marks)
         put(f"{folder}/staging", pack_name(block, "ids"), struct.pack("<Q", len(table)) + table + body)
@@ -176,6 +201,9 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, *, text: str = "te
     def pack(key_: tuple, own: pd.DataFrame, foreign: pd.DataFrame) -> pd.DataFrame:
         block = int(key_[0])
         owner = dict(zip(foreign["mark"].map(bytes), foreign["owner"].astype(int)))
+        if not exists(f"{folder}/staging", pack_name(block, "ids")):  # a task that ran before has done it all
+            done = list(recipes(folder, block))
+            return pd.DataFrame({"block": [block], "docs": [len(done)], "ids": [sum(n for _, n, _, _ in done)], "root": [merkle([r for _, _, r, _ in done]).hex()]})
         raw = get(f"{folder}/staging", pack_name(block, "ids"))
         (size,) = struct.unpack_from("<Q", raw)
         n, m = struct.unpack_from("<QQ", raw, 8)
@@ -185,23 +213,23 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, *, text: str = "te
         lengths = np.frombuffer(raw, "<u4", m, at + 4 * n)
         at += 4 * (n + m)
         marks = [raw[i : i + DIGEST] for i in range(at, at + DIGEST * m, DIGEST)]
-        body = zlib.decompress(raw[8 + size :])
+        body = zstandard.decompress(raw[8 + size :], max_output_size=int(lengths.sum()) * width)
         data, kept, position, where = [], {}, 0, 0
-        for mark, length in zip(marks, lengths.tolist()):
+        for mark, length in zip(marks, (lengths * width).tolist()):
             if mark not in owner and mark not in kept:
                 kept[mark] = (where, length)
-                data.append(body[position : position + length * width])
+                data.append(body[position : position + length])
                 where += length
-            position += length * width
-        index = b"".join(k + struct.pack("<QI", *v) for k, v in kept.items())
-        put(folder, pack_name(block, "pack"), MAGIC + struct.pack("<BQQ", width, len(kept), len(index)) + index + b"".join(data))
-        roots, i, lines = [], 0, []
+            position += length
+        put(folder, pack_name(block, "pack"), packed_file(width, kept, b"".join(data)))
+        roots, i, lines, first = [], 0, [], np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
         for d, c in enumerate(counts.tolist()):
             own_marks = marks[i : i + c]
             roots.append(merkle(own_marks))
-            lines.append(heads[9 * d : 9 * d + 9] + struct.pack("<QI", int(lengths[i : i + c].sum()), c) + roots[-1] + b"".join(k + struct.pack("<q", owner.get(k, block)) for k in own_marks))
+            lines.append(heads[9 * d : 9 * d + 9] + struct.pack("<QI", int(first[i + c] - first[i]), c) + roots[-1] + b"".join([k + struct.pack("<q", owner.get(k, block)) for k in own_marks]))
             i += c
         put(folder, pack_name(block, "recipe"), MAGIC + struct.pack("<Q", n) + b"".join(lines) + merkle(roots))
+        remove(f"{folder}/staging", pack_name(block, "ids"))
         return pd.DataFrame({"block": [block], "docs": [n], "ids": [int(lengths.sum())], "root": [merkle(roots).hex()]})
 
     spark = docs.sparkSession
@@ -216,31 +244,51 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, *, text: str = "te
     return done
 
 
+def packed_file(width: int, kept: dict[bytes, tuple[int, int]], data: bytes) -> bytes:
+    """Pack: head, chunk index (digest, first byte, bytes), segment table (first byte of data, first byte of file), segments."""
+    ends, squeeze = [0], zstandard.ZstdCompressor(level=3)
+    for a, n in kept.values():
+        if a + n - ends[-1] >= SEGMENT:
+            ends.append(a + n)
+    if ends[-1] < len(data):
+        ends.append(len(data))
+    segments = [squeeze.compress(data[a:b]) for a, b in zip(ends, ends[1:])]
+    index = b"".join([k + struct.pack("<QI", *v) for k, v in kept.items()])
+    starts = np.cumsum([0, *map(len, segments)])
+    table = struct.pack("<Q", len(ends)) + b"".join(struct.pack("<QQ", int(a), int(b)) for a, b in zip(ends, starts))
+    return MAGIC + struct.pack("<BQQ", width, len(index), len(table)) + index + table + b"".join(segments)
+
+
 class Pack:
-    """Index of a pack; chunks are read by position."""
+    """Index of a pack; a chunk is read by decompressing its segment (chunks never cross segments)."""
 
     def __init__(self, folder: str, block: int) -> None:
         fs, base = pafs.FileSystem.from_uri(folder)
         self.file = fs.open_input_file(f"{base}/{pack_name(block, 'pack')}")
-        head = self.file.read_at(len(MAGIC) + 17, 0)
+        size = len(MAGIC) + 17
+        head = self.file.read_at(size, 0)
         if head[: len(MAGIC)] != MAGIC:
             raise ValueError(f"block {block}: not a pack")
-        self.width, n, size = struct.unpack_from("<BQQ", head, len(MAGIC))
-        index = self.file.read_at(size, len(head))
-        self.start = len(head) + size
-        step = DIGEST + 12
-        self.at = {index[i : i + DIGEST]: struct.unpack_from("<QI", index, i + DIGEST) for i in range(0, n * step, step)}
+        self.width, n, m = struct.unpack_from("<BQQ", head, len(MAGIC))
+        rest = self.file.read_at(n + m, size)
+        self.start, step = size + n + m, DIGEST + 12
+        self.at = {rest[i : i + DIGEST]: struct.unpack_from("<QI", rest, i + DIGEST) for i in range(0, n, step)}
+        (k,) = struct.unpack_from("<Q", rest, n)
+        pairs = struct.unpack_from(f"<{2 * k}Q", rest, n + 8)
+        self.ends, self.files = pairs[::2], pairs[1::2]
+        self.last: tuple[int, bytes] = (-1, b"")
+        self.tool = zstandard.ZstdDecompressor()
+
+    def segment(self, k: int) -> bytes:
+        if self.last[0] != k:
+            raw = self.file.read_at(self.files[k + 1] - self.files[k], self.start + self.files[k])
+            self.last = (k, self.tool.decompress(raw, max_output_size=self.ends[k + 1] - self.ends[k]))
+        return self.last[1]
 
     def chunk(self, mark: bytes) -> bytes:
         where, length = self.at[mark]
-        return self.checked(mark, self.file.read_at(length * self.width, self.start + where * self.width))
-
-    def all(self) -> dict[bytes, bytes]:
-        end = max((a + n for a, n in self.at.values()), default=0) * self.width
-        data = self.file.read_at(end, self.start) if end else b""
-        return {k: self.checked(k, data[a * self.width : (a + n) * self.width]) for k, (a, n) in self.at.items()}
-
-    def checked(self, mark: bytes, data: bytes) -> bytes:
+        k = bisect_right(self.ends, where) - 1
+        data = self.segment(k)[where - self.ends[k] : where - self.ends[k] + length]
         if digest(data) != mark:
             raise ValueError(f"chunk {mark.hex()} is damaged")
         return data
@@ -275,12 +323,11 @@ def read_store(manifest: DataFrame, folder: str, *, ids: bool = False) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own_pack, packs = Pack(folder, block), {}
-                own = own_pack.all()
+                own, packs = Pack(folder, block), {}
                 rows: list[tuple] = []
                 for k, n, _, chunks in recipes(folder, block):
-                    data = b"".join([own[m] if o == block else (packs.get(o) or packs.setdefault(o, Pack(folder, o))).chunk(m) for m, o in chunks])
-                    found = np.frombuffer(data, f"<u{own_pack.width}").astype("<u4")
+                    data = b"".join([(own if o == block else packs.get(o) or packs.setdefault(o, Pack(folder, o))).chunk(m) for m, o in chunks])
+                    found = np.frombuffer(data, f"<u{own.width}").astype("<u4")
                     if len(found) != n:
                         raise ValueError(f"block {block}: {len(found)} ids, {n} expected")
                     rows.append((k, start, n, zlib.crc32(found.tobytes()), found.tolist() if ids else None))
