@@ -49,6 +49,16 @@ class Data:
                 arrays[c] = a
         return cls(freq, lo, arrays, dict.fromkeys(arrays, (lo, hi)))
 
+    @classmethod
+    def of_frame(cls, frame) -> Data:
+        """From a TsFrame whose series are the variables of one model: a model's data, a few thousand numbers."""
+        rows = frame.df.toPandas()
+        series = {}
+        for name, own in rows.groupby("__series"):
+            own = own.sort_values("__t")
+            series[name] = (periods.year_period(int(own["__t"].iloc[0]), frame.freq), own["value"].tolist())
+        return cls.of(series, frame.freq)
+
     def ordinal(self, yp: Yp | int) -> int:
         return yp if isinstance(yp, (int, np.integer)) else periods.ordinal(*yp, self.freq)
 

@@ -128,6 +128,38 @@ class Model:
         own = set(self.endogenous)
         return {n: tuple(v for v in self.endogenous if v in own and any(k == 0 and 0 in offsets(e).get(v, ()) for e, k in self.expressions(n))) for n in self.endogenous}
 
+    def behavioral(self, name: str) -> Behavioral:
+        return self.behaviorals[name]
+
+    def identity(self, name: str) -> Identity:
+        return self.identities[name]
+
+    def bind(self, data):
+        """The model with its data, as which it can be estimated, simulated and so on; the methods below bind and go on."""
+        from .simulate import bind_model_data
+
+        return bind_model_data(self, data)
+
+    def estimate(self, data, **how):
+        from .estimate import estimate
+
+        return estimate(self, data, **how)
+
+    def simulate(self, data, time_range, **how):
+        return self.bind(data).simulate(time_range, **how)
+
+    def stochastic_simulate(self, data, time_range, disturbances, **how):
+        return self.bind(data).stochastic_simulate(time_range, disturbances, **how)
+
+    def multiplier_matrix(self, data, time_range, targets, instruments, **how):
+        return self.bind(data).multiplier_matrix(time_range, targets, instruments, **how)
+
+    def renormalize(self, data, time_range, targets, instruments, **how):
+        return self.bind(data).renormalize(time_range, targets, instruments, **how)
+
+    def optimize(self, data, time_range, bounds, objective_functions, restrictions=(), **how):
+        return self.bind(data).optimize(time_range, bounds, objective_functions, restrictions, **how)
+
     @classmethod
     def from_text(cls, text: str, name: str = "model") -> Model:
         return parse_mdl(text, name)

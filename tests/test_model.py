@@ -291,3 +291,19 @@ def test_control():
     assert optimize_model(m, d, ((2001, 1), (2001, 1)), {"x": Bound(0, 10)}, [Timed("y")], [Timed("x > 11")], replicas=5, seed=1).best is None
     with pytest.raises(ValueError):
         Bound(2, 1)
+
+
+def test_model_methods_and_frames(spark):
+    from perioda.operators.frame import TsFrame
+
+    m = Model.from_text("MODEL\nIDENTITY> y\nEQ> y = x + 0.5*TSLAG(y)\nEND")
+    frame = TsFrame.of(spark, [0, 0, 0, 0], (1999, 1), name="y").combine(TsFrame.of(spark, [1, 1, 1], (2000, 1), name="x"))
+    d = Data.of_frame(frame)
+    span = ((2000, 1), (2002, 1))
+    assert list(m.simulate(d, span)["y"]) == [1.0, 1.5, 1.75] and m.identity("y").name == "y"
+    assert m.multiplier_matrix(d, span, ["y"], ["x"]).values[2] == pytest.approx([0.25, 0.5, 1.0])
+    assert m.renormalize(d, span, {"y": [2, 3, 4]}, ["x"]).instruments["x"] == pytest.approx([2, 2, 2.5])
+    assert m.stochastic_simulate(d, span, {"x": Disturbance("UNIFORM", (0, 1))}, replicas=3, seed=1).realizations["y"].shape == (3, 3)
+    assert m.optimize(d, span, {"x": Bound(0, 1)}, [Timed("y")], replicas=20, seed=1).best is not None
+    with pytest.raises(KeyError):
+        m.bind(Data.of({"y": ((1999, 1), [1.0])}, 1))
