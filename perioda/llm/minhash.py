@@ -3,11 +3,11 @@
 1. Each text becomes a set of word-shingle hashes; one permutation (the hash itself) deals them to BINS bins, a bin's least hash
    is its signature, and an empty bin borrows from the bin that a fixed sequence of probes finds first (optimal densification).
 2. Documents of equal sets become one node: all that follows sees a group of copies as one row.
-3. Bands of ROWS bins are buckets. In a bucket each node is paired with HUBS hubs only: a bucket of m nodes gives HUBS * m pairs at
-   most, whatever m is. Hubs differ from band to band, as they are least by a hash of node and band.
-4. Pairs whose signatures can't belong to a link (5 standard errors) go; the rest are confirmed on their full sets.
-5. Links are merged to components by alternating large and small stars. Buckets that still hold several components get new hubs, and
-   only pairs across components are tried, until a round adds no link.
+3. Bands of ROWS bins are buckets. In a bucket each node is paired with hubs only, the most central nodes: a bucket of m nodes gives at most
+   m pairs in the first round and HUBS[r] * m in later ones, whatever m is.
+4. Pairs are confirmed on their full sets.
+5. Links are merged to components by rounds of stars. Buckets that still hold several components get further hubs, and only pairs across
+   components are tried, until a round adds no link.
 A link of exactly the threshold shares no bucket with a chance of (1 - t**ROWS)**BANDS: under 1e-6 for 0.85.
 """
 
@@ -26,7 +26,8 @@ from .exact_dedup import repeated_words
 
 BANDS, ROWS = 25, 5
 BINS = 128
-HUBS, ROUNDS = 3, 4
+
+HUBS = (1, 3, 3)  # of a bucket, round by round
 FILTER_BITS = 22
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -134,41 +135,27 @@ def sketches(docs: DataFrame, *, text: str, key: str, width: int) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text)).mapInArrow(run, "id long, n long, h1 long, h2 long, sig binary, bands array<long>")
 
 
-def candidate_pairs(buckets: DataFrame, round_: int) -> DataFrame:
-    """Distinct (a, b, sizes), a < b, of nodes that share a bucket and of which one is a hub there.
+def candidate_pairs(buckets: DataFrame, hubs_of: int, round_: int) -> DataFrame:
+    """Distinct (a, b, ca, cb), a < b, of nodes that share a bucket and of which one is a hub there; ca and cb are their components.
 
-    buckets: (bucket, node, comp); only pairs across components. Hubs are combined on the map side; the join back on the bucket is
-    one that AQE may split.
+    buckets: (bucket, node, central, comp); only pairs across components. A hub is the most central node of one of `hubs_of` hash classes of
+    a bucket. Central is a node that shares many buckets with many others: of copies with more or fewer changes, the least changed.
+    Hubs are combined on the map side; the join back on the bucket is one that AQE may split.
     """
-    order = [F.min(F.struct(F.xxhash64("node", "bucket", F.lit(round_ * HUBS + k)).alias("o"), F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))).alias(f"h{k}") for k in range(HUBS)]
-    hubs = buckets.groupBy("bucket").agg(F.min("comp").alias("__lo"), F.max("comp").alias("__hi"), *order).where("__lo < __hi")
-    hubs = hubs.select("bucket", F.array_distinct(F.array(*[F.struct(F.col(f"h{k}.hub").alias("hub"), F.col(f"h{k}.hub_comp").alias("hub_comp")) for k in range(HUBS)])).alias("hubs"))
-    pairs = buckets.join(hubs, "bucket").withColumn("h", F.explode(F.filter("hubs", lambda h: h["hub_comp"] != F.col("comp"))))
-    return pairs.select(F.least("node", "h.hub").alias("a"), F.greatest("node", "h.hub").alias("b")).distinct()
-
-
-def likely(pairs: DataFrame, sketch: DataFrame, least: float) -> DataFrame:
-    """Pairs whose signatures and set sizes allow a similarity of `least`."""
-    slack = 5 * (least * (1 - least) / BINS) ** 0.5
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint8).reshape(-1, BINS) for i in (2, 4))
-            n, m = (b.column(i).to_numpy() for i in (3, 5))
-            same = (x == y).mean(axis=1)
-            small = np.minimum(n, m) < BINS  # borrowed bins are not independent: leave those to the full sets
-            ok = (np.minimum(n, m) >= (least - 1e-9) * np.maximum(n, m)) & (small | (same >= least - slack))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok))
-
-    side = lambda k: sketch.select(F.col("id").alias(k), F.col("sig").alias(f"s{k}"), F.col("n").alias(f"n{k}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "na", "sb", "nb")
-    return joined.mapInArrow(run, "a long, b long")
+    best = []
+    for k in range(hubs_of):
+        own = F.struct("central", (-F.col("node")).alias("n"), "node", "comp")
+        best.append(F.max(own if hubs_of == 1 else F.when(F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(hubs_of)) == k, own)).alias(f"h{k}"))
+    hubs = buckets.groupBy("bucket").agg(F.min("comp").alias("__lo"), F.max("comp").alias("__hi"), *best).where("__lo < __hi")
+    hubs = hubs.select("bucket", F.filter(F.array(*[f"h{k}" for k in range(hubs_of)]), lambda h: h.isNotNull()).alias("hubs"))
+    met = buckets.join(hubs, "bucket").withColumn("h", F.explode(F.filter("hubs", lambda h: h["comp"] != F.col("comp"))))
+    first = F.col("node") < F.col("h.node")
+    pick = lambda a, b: F.when(first, a).otherwise(b)
+    return met.select(pick(F.col("node"), F.col("h.node")).alias("a"), pick(F.col("h.node"), F.col("node")).alias("b"), pick(F.col("comp"), F.col("h.comp")).alias("ca"), pick(F.col("h.comp"), F.col("comp")).alias("cb")).distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
-    """Pairs with den * |intersection| >= num * |union| on their full sets (least = num / den)."""
+    """(ca, cb) of the pairs with den * |intersection| >= num * |union| on their full sets (least = num / den)."""
     num, den = least.numerator, least.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,12 +163,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
             ok = []
             for s, t in zip(b.column(2), b.column(3)):
                 x, y = np.frombuffer(s.as_buffer(), dtype=np.int64), np.frombuffer(t.as_buffer(), dtype=np.int64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(den * both >= num * (len(x) + len(y) - both))
+                n, m = len(x), len(y)
+                if den * min(n, m) < num * max(n, m):  # sizes alone rule it out
+                    ok.append(False)
+                    continue
+                both = n + m - len(np.union1d(x, y))
+                ok.append(den * both >= num * (n + m - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     side = lambda k: sets.select(F.col("id").alias(k), F.col("members").alias(f"s{k}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("ca", "cb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, *, text: str, key: str, width: int) -> DataFrame:
@@ -201,24 +192,26 @@ def full_sets(docs: DataFrame, nodes: DataFrame, *, text: str, key: str, width:
     return made.join(nodes.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
 
 
-def components(edges: DataFrame, name: str, most: int = 30) -> DataFrame:
-    """(node, comp) of the nodes of edges (a, b): comp is the least node reachable. Alternating large and small stars; each round is
-    written to shared storage; ends when the stars stay as they are."""
+def components(edges: DataFrame, name: str, most: int = 40) -> DataFrame:
+    """(node, comp) of the nodes of edges (a, b): comp is the least node reachable.
+
+    Each round every node sends the least of its neighbours and itself to all of them and to itself; edges become stars about the
+    least nodes. Rounds are written to shared storage and end when the edges stay as they are.
+    """
     edges = settle(edges.select("a", "b").where("a <> b").distinct(), f"{name}-edges")
     seen = None
     for i in range(most):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        small = down.groupBy("a").agg(F.min("b").alias("m"))
-        edges = down.join(small, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        sent = both.join(least, "a").select("a", "b", "m")
+        edges = sent.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         edges = settle(edges, f"{name}-{i}")
         now = tuple(edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first())
         if now == seen:
             break
         seen = now
-    return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp"))
+    heads = edges.select(F.col("b").alias("node"), F.col("b").alias("comp"))
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(heads).groupBy("node").agg(F.min("comp").alias("comp"))
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", width: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:
@@ -232,27 +225,21 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     usable = sketch.where("n > 0 and id is not null")
     nodes = settle(usable.groupBy("n", "h1", "h2").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "near-nodes")
     spread = nodes.select("id", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
-    buckets = settle(spread.join(shared, "bucket", "left_semi").select("bucket", F.col("id").alias("node")), "near-buckets")
+    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    buckets = settle(spread.join(shared, "bucket").select("bucket", F.col("id").alias("node"), "size"), "near-buckets")
+    central = buckets.groupBy("node").agg(F.sum("size").alias("central"))
+    buckets = settle(buckets.join(central, "node").select("bucket", "node", "central", F.col("node").alias("comp")), "near-central")
     wanted = buckets.select(F.col("node").alias("id")).distinct()
     sets = settle(full_sets(docs, wanted, text=text, key=key, width=width), "near-sets")
-    small = nodes.select("id", "n", "sig").join(wanted, "id", "left_semi")
-    small = settle(small, "near-signatures")
-    labels = buckets.select("node", F.col("node").alias("comp")).distinct()
-    links, tried = None, None
-    for r in range(ROUNDS):
-        pairs = candidate_pairs(buckets.join(labels, "node"), r)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = settle(pairs, f"near-pairs-{r}")
-        tried = pairs if tried is None else tried.union(pairs)
-        found = settle(confirmed(likely(pairs, small, float(least)), sets, least), f"near-links-{r}")
-        if found.isEmpty():
-            break
-        links = found if links is None else links.union(found)
-        joined = components(links, f"near-components-{r}")
-        labels = buckets.select("node").distinct().join(joined, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
-        labels = settle(labels, f"near-labels-{r}")
+    for r, hubs_of in enumerate(HUBS):
+        links = settle(confirmed(candidate_pairs(buckets, hubs_of, r), sets, least).distinct(), f"near-links-{r}")
+        if links.isEmpty():
+            if r:
+                break
+            continue
+        moved = components(links, f"near-components-{r}").select(F.col("node").alias("comp"), F.col("comp").alias("__to"))
+        buckets = settle(buckets.join(moved, "comp", "left").select("bucket", "node", "central", F.coalesce("__to", "comp").alias("comp")), f"near-buckets-{r}")
+    labels = buckets.select("node", "comp").distinct()
     heads = nodes.select("n", "h1", "h2", F.col("id").alias("node"))
     rows = sketch.join(heads, ["n", "h1", "h2"], "left").join(labels, "node", "left")
     own = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.coalesce("comp", "node")).otherwise(F.col("id"))
