@@ -29,7 +29,8 @@ _codecs: dict[str, Codec] = {}
 class Codec:
     """Encoder and decoder for a file of ranks (lines: base64 of the token's bytes, rank)."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED) -> None:
+        self.remembered = remembered
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.pieces: dict[str, tuple[int, ...]] = {}
@@ -38,10 +39,10 @@ class Codec:
         self.decimal = {i: str(i) for i in self.bytes_of}
 
     @staticmethod
-    def of(path: str, pattern: str) -> Codec:
-        if path not in _codecs:
+    def of(path: str, pattern: str, remembered: int = REMEMBERED) -> Codec:
+        if path not in _codecs or _codecs[path].remembered != remembered:
             with open(path, "rb") as lines:
-                _codecs[path] = Codec({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, pattern)
+                _codecs[path] = Codec({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, pattern, remembered)
         return _codecs[path]
 
     def merged(self, data: bytes) -> tuple[int, ...]:
@@ -80,7 +81,7 @@ class Codec:
 
     def remember(self, data: bytes, ids: tuple[int, ...]) -> None:
         if len(data) <= 12:
-            if len(self.parts) > REMEMBERED // 2:
+            if len(self.parts) > self.remembered // 2:
                 self.parts.clear()
             self.parts[data] = ids
 
@@ -88,7 +89,7 @@ class Codec:
         """Whether the two tokens side by side encode to themselves."""
         known = self.stable.get((a, b))
         if known is None:
-            if len(self.stable) > REMEMBERED // 2:
+            if len(self.stable) > self.remembered // 2:
                 self.stable.clear()
             known = self.stable[a, b] = self.small(self.bytes_of[a] + self.bytes_of[b]) == (a, b)
         return known
@@ -133,7 +134,7 @@ class Codec:
         try:
             return list(chain.from_iterable(map(known.__getitem__, cut)))
         except KeyError:
-            if len(known) > REMEMBERED:
+            if len(known) > self.remembered:
                 known.clear()
             for k in cut:
                 if k not in known:
@@ -148,7 +149,7 @@ class Codec:
         return level[0] if level else b""
 
 
-def encode_documents(docs: DataFrame, *, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, *, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """docs with `ids` (array<int>), and `decoded` (binary, from the ids) if named. Null text counts as empty: no ids.
 
     Rows stay as they are, repeated or not; input columns of the output names are replaced; an empty table gives an empty one.
@@ -157,7 +158,7 @@ def encode_documents(docs: DataFrame, *, path: str, pattern: str, text: str = "t
     docs = docs.drop(ids, *([decoded] if decoded else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(path, pattern)
+        codec = Codec.of(path, pattern, remembered)
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)

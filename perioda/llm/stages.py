@@ -15,6 +15,7 @@ from .mixing import mix
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 REJECT = 0.7  # toxicity score from which a document goes
+REMEMBERED = 250_000  # pieces that a Python worker keeps, as it has served other stages before
 TEMPER, KEEP = 0.8, 0.9  # of the mixture: power of the observed shares, share of the tokens to draw
 
 
@@ -51,7 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang and the token ids of each document."""
-    rows = encode_documents(own_columns(docs).select("doc_id", "source", "lang", "text"), path=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+    rows = encode_documents(own_columns(docs).select("doc_id", "source", "lang", "text"), path=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern=public_tokenizers.PATTERN, remembered=REMEMBERED)
     return rows.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
