@@ -38,6 +38,7 @@ FILTER_BITS = 26
 ROW_FILTER_BITS = 22
 REMEMBERED = 100_000  # strings that a task remembers to send once
 ROWS_PER_TASK = 60_000
+FREQUENT, MOST_FREQUENT = 50_000, 2_000_000  # rows of a hash from which its strings are dealt one by one; bound of such hashes
 ROW = "hash long, doc long, start long, last long, anchor long, bytes binary"
 
 
@@ -65,7 +66,7 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     at = (least & np.uint64((1 << 23) - 1)).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     last = np.concatenate((first[1:] - 1, [starts - 1]))
-    return at[first], h[at[first]], first, last
+    return at[first], _mix(h[at[first]]), first, last  # mixed, as least hashes are small numbers: slots and partitions want even ones
 
 
 def segments(data: bytes) -> Iterator[tuple[int, np.ndarray]]:
@@ -343,7 +344,7 @@ def repeated_ranges(docs: DataFrame, *, text: str = "text", key: str = "doc_id")
     counts = settle(_hash_rows(rows).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "span-hashes")
     totals = counts.agg(F.sum("n").alias("rows")).first()["rows"] or 0
     hot, bitmap = new_folder(spark, "span-hot"), new_folder(spark, "span-bitmap")
-    counts.where(F.col("n") > max(2_000, totals // 20_000)).select("hash").write.parquet(hot)  # 20,000 values at most
+    counts.where(F.col("n") > max(FREQUENT, totals // MOST_FREQUENT)).select("hash").write.parquet(hot)
     repeated_words(counts.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).alias("__slot")), "__slot", FILTER_BITS).write.parquet(bitmap)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-totals // ROWS_PER_TASK))
     found = _range_rows(_anchor_rows(rows, bitmap, FILTER_BITS, hot).repartition(parts, "hash"))
