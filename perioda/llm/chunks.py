@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 
 MEET = re.compile(r"\s\s|\0")
+# The same for engines whose \s is ASCII alone: all of Unicode's white space.
+MEET_RE2 = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}|\x00"
 
 
 def keys(text: str) -> list[str] | None:

@@ -21,19 +21,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .chunks import keys, unpack
+from .chunks import MEET_RE2, unpack
 from .common import id_blocks, new_folder, remove_folder, settle
 
 WINDOW, MEAN_BITS, LEAST, MOST = 16, 9, 64, 4096  # ids: of the rolling hash, log2 of the mean chunk, bounds of a chunk
 ROWS_PER_BLOCK = 2048
 REMEMBERED = 600_000
 SEGMENT = 1 << 16  # bytes of a pack that are compressed together, about
+BATCH_BYTES = 16 << 20  # of text that are encoded at once
 DIGEST = 16
 MAGIC = b"IDPACK01"
 _encoders: dict[str, Encoder] = {}
@@ -63,28 +65,52 @@ class Encoder:
         kind = "H" if self.width == 2 else "I"
         return [struct.pack(f"<{len(ids)}{kind}", *ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for ids in (e.ids,)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text. Pieces are remembered in two generations: when the young one is full it becomes the old one, and what is
-        met again moves back to the young one; pieces in neither are encoded in one batch."""
+    def remembered(self, keys_: list[str]) -> list[bytes]:
+        """Packed ids of distinct keys. They are remembered in two generations: when the young one is full it becomes the old one, and what
+        is met again moves back to the young one; keys in neither are encoded in one batch."""
         if len(self.known) > REMEMBERED:
             self.old, self.known = self.known, {}
         known, old = self.known, self.old
-        cuts = [keys(t) for t in texts]
-        found = [None if cut is None else list(map(known.get, cut)) for cut in cuts]
-        gaps = [(cut, ids, [i for i, x in enumerate(ids) if x is None]) for cut, ids in zip(cuts, found) if ids is not None and None in ids]
-        new = {cut[i] for cut, _, at in gaps for i in at}
-        for k in new.intersection(old):
-            known[k] = old[k]
+        new = [k for k in keys_ if k not in known]
+        for k in new:
+            if k in old:
+                known[k] = old[k]
         new = [k for k in new if k not in known]
         parts = [unpack(k) for k in new]
         made = iter(self.packed([p for x in parts for p in x]))
         for k, x in zip(new, parts):
             known[k] = next(made) if len(x) == 1 else b"".join([next(made) for _ in x])
-        for cut, ids, at in gaps:
-            for i in at:
-                ids[i] = known[cut[i]]
-        whole = iter(self.packed([t for t, cut in zip(texts, cuts) if cut is None]))
-        return [next(whole) if ids is None else b"".join(ids) for ids in found]
+        return [known[k] for k in keys_]
+
+    def encode(self, texts: pa.Array, end: int) -> pa.Array:
+        """Packed ids of each text (null: empty) with the end id. Texts are cut into pieces, distinct pieces are looked up once, and ids are
+        gathered by position; texts in which white space meets are encoded whole."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = np.asarray(pc.match_substring_regex(texts, MEET_RE2))
+        plain = texts.filter(pa.array(~odd))
+        cut = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), plain, pa.scalar("", pa.large_string())), "\n", " \n\0"), " ")
+        words = cut.flatten().dictionary_encode()
+        ids = self.remembered(words.dictionary.to_pylist())
+        kind = f"<u{self.width}"
+        blob = np.frombuffer(b"".join(ids), dtype=kind)
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // self.width
+        first = np.cumsum(sizes) - sizes
+        at = np.asarray(words.indices)
+        each = sizes[at]
+        upto = np.concatenate(([0], np.cumsum(each)))
+        ends = upto[np.asarray(cut.offsets) - cut.offsets[0].as_py()]  # ids before each document, and all
+        n = len(plain)
+        out = np.full(int(ends[-1]) + n, end, dtype=kind)
+        source = np.repeat(first[at] - upto[:-1], each) + np.arange(upto[-1])
+        out[np.arange(upto[-1]) + np.repeat(np.arange(n), np.diff(ends))] = blob[source]
+        offsets = (ends + np.arange(n + 1)) * self.width
+        found = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)])
+        if odd.any():
+            tail = end.to_bytes(self.width, "little")
+            whole = pa.array([x + tail for x in self.packed(texts.filter(pa.array(odd)).to_pylist())], pa.large_binary())
+            place = np.where(odd, n + np.cumsum(odd) - 1, np.cumsum(~odd) - 1)
+            found = pa.concat_arrays([found, whole]).take(pa.array(place))
+        return found.cast(pa.binary())
 
 
 def cut_points(ids: np.ndarray) -> list[int]:
@@ -159,12 +185,14 @@ def encode_rows(docs: DataFrame, tokenizer: str, *, text: str, key: str, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer)
-        end = end_id.to_bytes(encoder.width, "little")
         for b in batches:
-            for lo in range(0, b.num_rows, 128):
-                part = b.slice(lo, 128)
-                found = [x + end for x in encoder.encode([t or "" for t in part.column(3).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(found, pa.binary())], names=["__key", "__tie", "__block", "ids"])
+            upto = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(3)), 0)))
+            lo = 0
+            while lo < b.num_rows:  # pieces of bounded size, whatever the batch holds
+                hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + BATCH_BYTES, "right")))
+                part = b.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], encoder.encode(part.column(3), end_id)], names=["__key", "__tie", "__block", "ids"])
+                lo = hi
 
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("__key"), F.xxhash64(body).alias("__tie"), id_blocks(docs, key, ROWS_PER_BLOCK).alias("__block"), body.alias("__text"))
