@@ -4,8 +4,8 @@ A document is the multiset of its paragraphs (lines). Each paragraph is hashed t
 lane-wise sum of the vectors, so it doesn't depend on the order of paragraphs, and adding or taking away paragraphs is adding
 or subtracting their vectors. Lanes of a vector:
   0        sentences in the paragraph, modulo 2**32
-  1..8     uniform hashes of the whole paragraph, modulo 2**32 (equality)
-  9..40    lanes of 14 bits, four in each long: the 128 bits of each of its sentences' hash, counted modulo 2**14 (likeness)
+  1..4     uniform hashes of the whole paragraph, modulo 2**32 (equality)
+  5..28    lanes of 14 bits, four in each long: 96 bits of the hashes of each of its sentences, counted modulo 2**14 (likeness)
 With n sentences and a bit count c, 2c - n is a sum of random signs, so products of such lanes estimate how many sentences
 two documents share; the cosine of the estimates is the likeness.
 """
@@ -16,12 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import id_blocks, settle, without
+from .common import id_blocks, settle
 
-EQUAL = 8
+EQUAL = 4
 MOD32 = 0xFFFFFFFF
 ONES, LANES = 0x0001000100010001, 0x3FFF3FFF3FFF3FFF
-HASHES = 2
+HASHES, SHIFTS = 2, 12
 ROWS_PER_BLOCK = 2048
 
 
@@ -37,26 +37,26 @@ def _seeded(k: int):
     return lambda s: F.xxhash64(s, F.lit(k))
 
 
-def fingerprint(text: Column) -> Column:
-    """array<long> of lanes of the text (null: as empty text, which is one empty paragraph with no sentence)."""
-    body = F.coalesce(text, F.lit(""))
-    paragraphs = F.split(body, "\n")
-    sentences = F.filter(F.split(body, "[.\n]"), lambda s: F.length(s) > 0)
+def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with `out`: array<long> of lanes of the text column (null: as empty text, one empty paragraph without sentences).
+
+    Pieces and their hashes are columns of their own: the folds over them are interpreted, and would else make them anew for each lane.
+    """
     zero = F.lit(0).cast("long")
-    lanes = [F.size(sentences).cast("long").bitwiseAND(F.lit(MOD32))]
-    hashed = F.transform(paragraphs, lambda p: F.xxhash64(p))
-    lanes += [F.aggregate(hashed, zero, _uniform(i)) for i in range(EQUAL)]
-    for k in range(HASHES):
-        bits = F.transform(sentences, _seeded(k))
-        lanes += [F.aggregate(bits, zero, _counted(i)) for i in range(16)]
-    return F.array(*lanes)
+    df = df.withColumn("__body", F.coalesce(F.col(text), F.lit("")))
+    df = df.withColumns({"__pars": F.transform(F.split("__body", "\n"), lambda p: F.xxhash64(p)), "__sents": F.filter(F.split("__body", "[.\n]"), lambda s: F.length(s) > 0)})
+    df = df.withColumns({f"__bits{k}": F.transform("__sents", _seeded(k)) for k in range(HASHES)})
+    lanes = [F.size("__sents").cast("long").bitwiseAND(F.lit(MOD32))]
+    lanes += [F.aggregate("__pars", zero, _uniform(i)) for i in range(EQUAL)]
+    lanes += [F.aggregate(f"__bits{k}", zero, _counted(i)) for k in range(HASHES) for i in range(SHIFTS)]
+    return df.withColumn(out, F.array(*lanes)).drop("__body", "__pars", "__sents", *[f"__bits{k}" for k in range(HASHES)])
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """Fingerprint of the union of two multisets of paragraphs (sign -1: of the difference)."""
     low = F.transform(F.slice(a, 1, EQUAL + 1), lambda x, i: (x + sign * F.element_at(b, i + 1)).bitwiseAND(F.lit(MOD32)))
     other = (lambda x: x) if sign > 0 else (lambda x: (F.lit(LANES) - x + F.lit(ONES)).bitwiseAND(F.lit(LANES)))
-    high = F.transform(F.slice(a, EQUAL + 2, 16 * HASHES), lambda x, i: (x + other(F.element_at(b, i + EQUAL + 2))).bitwiseAND(F.lit(LANES)))
+    high = F.transform(F.slice(a, EQUAL + 2, SHIFTS * HASHES), lambda x, i: (x + other(F.element_at(b, i + EQUAL + 2))).bitwiseAND(F.lit(LANES)))
     return F.concat(low, high)
 
 
@@ -68,7 +68,7 @@ def likeness(a: Column, b: Column) -> Column:
             v = F.pmod(2 * F.shiftrightunsigned(x, 16 * j).bitwiseAND(F.lit(0xFFFF)) - F.element_at(fp, 1), F.lit(32768))
             return F.when(v > 16383, v - 32768).otherwise(v).cast("double")
 
-        return F.flatten(F.transform(F.slice(fp, EQUAL + 2, 16 * HASHES), lambda x: F.array(*[lane(x, j) for j in range(4)])))
+        return F.flatten(F.transform(F.slice(fp, EQUAL + 2, SHIFTS * HASHES), lambda x: F.array(*[lane(x, j) for j in range(4)])))
 
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
@@ -96,11 +96,11 @@ def with_next(docs: DataFrame, columns: dict[str, str], *, key: str = "doc_id",
     rows = docs.join(F.broadcast(heads), (F.col("__block") == F.col("__hb")) & F.col(key).eqNullSafe(F.col("__head")), "left")
     own = F.struct(F.col("__block").alias("b"), F.lit(0).alias("s"))
     sent = F.struct(F.col("__to").alias("b"), F.lit(1).alias("s"))
-    rows = rows.withColumn("__at", F.explode(F.when(F.col("__to").isNull(), F.array(own)).otherwise(F.array(own, sent))))
-    w = W.partitionBy(F.col("__at.b")).orderBy(F.col("__at.s"), F.desc_nulls_last(key), F.desc(tie))
-    for c, new in columns.items():
-        rows = rows.withColumn(new, F.lead(c).over(w))
-    return rows.where("__at.s = 0").drop("__block", "__hb", "__head", "__to", "__at")
+    places = F.when(F.col("__to").isNull(), F.array(own)).otherwise(F.array(own, sent))
+    rows = rows.withColumn("__at", F.explode(places)).withColumn("__b", F.col("__at.b")).withColumn("__s", F.col("__at.s"))
+    w = W.partitionBy("__b").orderBy("__s", F.desc_nulls_last(key), F.desc(tie))
+    rows = rows.withColumns({new: F.lead(c).over(w) for c, new in columns.items()})
+    return rows.where("__s = 0").drop("__block", "__hb", "__head", "__to", "__at", "__b", "__s")
 
 
 def fingerprint_edits(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -110,11 +110,11 @@ def fingerprint_edits(docs: DataFrame, *, text: str = "text", key: str = "doc_id
     empty; an empty table gives an empty one; ties on the key are ordered by the text's hash; other columns are not read.
     """
     rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    rows = rows.withColumn("__tie", F.xxhash64("__text")).withColumn("fp", fingerprint(F.col("__text")))
+    rows = with_fingerprint(rows.withColumn("__tie", F.xxhash64("__text")), "__text", "fp")
     rows = with_next(rows, {"__text": "__next", "fp": "__next_fp"}, key=key, tie="__tie")
     n = F.length("__text")
     third = F.floor(n / 3).cast("int")
     rows = rows.withColumn("n_chars", n.cast("long"))
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("__text"), F.lit(1), n - third), F.substring(F.col("__next"), F.lit(1), third)))
-    rows = rows.withColumn("edited_fp", fingerprint(F.col("edited")))
+    rows = with_fingerprint(rows, "edited", "edited_fp")
     return rows.select(key, "n_chars", "edited", "fp", "edited_fp", likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("__next_fp")).alias("near_next"))
