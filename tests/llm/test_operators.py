@@ -389,6 +389,23 @@ def test_near_duplicate_chains(spark):
     assert got == brute_components(rows, 3, Fraction(85, 100))
 
 
+def test_near_duplicate_edits_of_one_template(spark):
+    """Edits under the threshold to their template, in pairs over it to each other: no link has a hub of a large bucket."""
+    r, base, rows = random.Random(4), prose(600, 77).split(), []
+    rows.append((0, " ".join(base)))
+    for g in range(150):
+        at = r.sample(range(3, 597, 4), 25)
+        pair = [list(base), list(base)]
+        for k, i in enumerate(at):
+            for e, w in enumerate(pair):
+                if k < 9 or (k < 17) == (e == 0):  # nine common changes, eight of each one's own
+                    w[i] = f"new{g}x{k}"
+        rows += [(1 + 2 * g + e, " ".join(w)) for e, w in enumerate(pair)]
+    got = rows_of(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, least=Fraction(85, 100)), "n_shingles", "component_id", "kept")
+    assert got == brute_components(rows, 3, Fraction(85, 100))
+    assert len({c for _, c, _ in got.values()}) == 151
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [(7, BASE), (7, BASE), (None, BASE), (None, None), (3, BASE)]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
