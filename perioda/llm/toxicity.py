@@ -4,7 +4,8 @@ Two zstandard dictionaries share a base of ordinary words; one ends in pieces of
 often than others, the other in as much further ordinary text. A window, a word in a fixed frame that both dictionaries
 know, is compressed with each: how many bytes the toxic dictionary saves is the window's distance. Distances depend on the word alone, so
 each Python worker remembers them. A document is judged by how many of its windows reach the threshold; threshold and
-scores are calibrated on labelled documents that the dictionaries have not seen.
+scores are calibrated on labelled documents that the dictionaries have not seen. Where a class is sampled, its documents count
+in the calibration for as many as they stand for: scores follow the corpus's share of toxic documents, not the sample's.
 """
 
 from __future__ import annotations
@@ -130,36 +131,44 @@ def level(weak: int, strong: int) -> int:
     return 3 + min(strong, 2) if strong else min(weak, 3)
 
 
-def calibrate(distance: Distance, texts: list[str], toxic: list[int]) -> tuple[tuple[int, int], list[float]]:
-    """Thresholds and the probability at each level: those whose probabilities fit the labels best (log loss)."""
+def calibrate(distance: Distance, texts: list[str], toxic: list[int], weights: tuple[float, float] = (1.0, 1.0)) -> tuple[tuple[int, int], list[float]]:
+    """Thresholds and the probability at each level: those whose probabilities fit the labels best (log loss).
+
+    weights: documents that a sampled one of class 0 and of class 1 stands for.
+    """
     best = None
     each = [Counter(map(distance.of, tokens(t))) for t in texts]
-    share = (sum(toxic) + 0.5) / (len(toxic) + 1)
+    share = (sum(weights[1] for y in toxic if y) + 0.5) / (sum(weights[y] for y in toxic) + 1)
     for upper in range(3, 12):
         for lower in range(2, upper + 1):
             n, k = [2.0] * LEVELS, [2.0 * share] * LEVELS
             at = [level(sum(c for d, c in x.items() if lower <= d < upper), sum(c for d, c in x.items() if d >= upper)) for x in each]
             for a, y in zip(at, toxic):
-                n[a] += 1
-                k[a] += y
+                n[a] += weights[y]
+                k[a] += weights[y] * y
             p = [b / a for a, b in zip(n, k)]
             for i in range(1, LEVELS):  # more evidence never means less
                 p[i] = max(p[i], p[i - 1])
-            loss = -sum(math.log(p[a] if y else 1 - p[a]) for a, y in zip(at, toxic))
+            loss = -sum(weights[y] * math.log(p[a] if y else 1 - p[a]) for a, y in zip(at, toxic))
             if best is None or loss < best[0]:
                 best = (loss, (lower, upper), p)
     return best[1], best[2]
 
 
-def fit_model(texts: list[str], toxic: list[int]) -> bytes:
-    """Model from labelled texts: two of three fit the dictionaries, the third calibrates. One class only: its constant score."""
+def fit_model(texts: list[str], toxic: list[int], sizes: dict[int, int] | None = None) -> bytes:
+    """Model from labelled texts: two of three fit the dictionaries, the third calibrates. One class only: its constant score.
+
+    sizes: documents of each class that the texts were drawn from; without it the texts are all.
+    """
     third = [i % 3 == 2 for i in range(len(texts))]
     a = [t for t, y, c in zip(texts, toxic, third) if y and not c]
     b = [t for t, y, c in zip(texts, toxic, third) if not y and not c]
     if not a or not b:
         return pickle.dumps((b"", b"", (98, 99), [float(bool(toxic) and min(toxic) == 1)] * LEVELS))
     first, second = dictionaries(a, b)
-    thresholds, p = calibrate(Distance(first, second), [t for t, c in zip(texts, third) if c], [y for y, c in zip(toxic, third) if c])
+    drawn, held = Counter(toxic), [y for y, c in zip(toxic, third) if c]
+    stands = [max(1.0, (sizes or drawn).get(y, 0) / drawn[y]) for y in (0, 1)]
+    thresholds, p = calibrate(Distance(first, second), [t for t, c in zip(texts, third) if c], held, (stands[0], stands[1]))
     return pickle.dumps((first, second, thresholds, p))
 
 
@@ -184,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
     """Model from the rows of labels where `usable` holds: about max_labelled documents of each class, drawn by a hash of the key.
 
     Rows with null key or label are left out, keys with two labels count as toxic if one says so, null text is empty. The sample
-    is fitted in one task: its size is bounded, whatever the corpus.
+    is fitted in one task: its size is bounded, whatever the corpus. Calibration weighs each class by its size over its sample's.
     """
     own = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
     if usable is not None:
@@ -200,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("__id").sort_values("__id", key=lambda s: (s * 2654435761) % 1000003, kind="stable")
-        return pd.DataFrame({"model": [fit_model([t or "" for t in pdf["__text"]], [int(y) for y in pdf["__y"]])]})
+        return pd.DataFrame({"model": [fit_model([t or "" for t in pdf["__text"]], [int(y) for y in pdf["__y"]], sizes)]})
 
     found = sample.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(run, "model binary").first()
     return bytes(found["model"]) if found else fit_model([], [])

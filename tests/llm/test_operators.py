@@ -273,6 +273,14 @@ def test_toxicity(spark):
     assert toxicity.score_text(nothing, "a vilest wretch") == 0.0
 
 
+def test_toxicity_of_a_sample(spark):
+    """Scores follow the share of toxic documents in the corpus, however few of a class are sampled."""
+    rows = [(i, prose(30, 9000 + i)) for i in range(3000)]  # nothing tells the classes apart: one in ten is toxic
+    d, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(3000)], "doc_id long, toxic int")
+    whole, sampled = (toxicity.score_text(toxicity.fit(d, lab, max_labelled=m), BASE) for m in (12_000, 300))
+    assert whole == pytest.approx(0.1, abs=0.05) and sampled == pytest.approx(0.1, abs=0.05)
+
+
 # ---- 7 sharding
 
 
