@@ -30,13 +30,13 @@ def words(text: Column) -> Column:
     return (F.length(flat) - F.length(F.translate(flat, " ", "")) + 1).cast("long")
 
 
-def topic(text: Column, topics: int = TOPICS) -> Column:
-    """Stand-in topic where the table has none: the class that most of the first paragraph's words of 5 letters or more
-    hash to (the least class in ties; 't0' without such words)."""
-    tokens = F.filter(F.split(F.element_at(F.split(F.coalesce(text, F.lit("")), "\n"), 1), " "), lambda w: F.length(w) >= 5)
-    classes = F.transform(tokens, lambda w: F.pmod(F.xxhash64(w), F.lit(topics)))
-    best = F.array_max(F.transform(F.array_distinct(classes), lambda c: F.struct(F.size(F.filter(classes, lambda x: x == c)).alias("n"), (-c).alias("c"))))
-    return F.concat(F.lit("t"), F.coalesce(-best["c"], F.lit(0)).cast("string"))
+def with_topic(docs: DataFrame, text: str, topics: int = TOPICS) -> DataFrame:
+    """docs with a stand-in topic where the table has none: the class that most of the text's words of 5 letters or more hash to
+    (the least class in ties; 't0' without such words). Words are hashed once; counts of classes are differences of array sizes."""
+    tokens = F.filter(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), "\n\t\r", "   "), " "), lambda w: F.length(w) >= 5)
+    classes = F.transform(tokens, lambda w: F.pmod(F.xxhash64(w), F.lit(topics)).cast("int"))
+    counts = [F.struct((F.size("__classes") - F.size(F.array_remove("__classes", k))).alias("n"), F.lit(-k).alias("c")) for k in range(topics)]
+    return docs.withColumn("__classes", classes).withColumn("topic", F.concat(F.lit("t"), (-F.greatest(*counts)["c"]).cast("string"))).drop("__classes")
 
 
 def default_targets(cells: DataFrame, margin: str, temper: float = TEMPER) -> DataFrame:
@@ -80,11 +80,11 @@ def mix(docs: DataFrame, *, targets: dict[str, DataFrame] | None = None, text: s
     """
     docs = without(docs, "n_tokens", "fitted_share", "probability", "sampled")
     if "topic" not in docs.columns:
-        docs = docs.withColumn("topic", topic(F.col(text)))
+        docs = with_topic(docs, text)
     for m in ("source", "lang"):
         if m not in docs.columns:
             docs = docs.withColumn(m, F.lit(None).cast("string"))
-    docs = docs.withColumn("n_tokens", words(F.col(text)))
+    docs = settle(docs.withColumn("n_tokens", words(F.col(text))), "mix-documents")  # read twice, their words counted once
     cells = settle(docs.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("weight")), "mix-cells")
     goals = {m: (targets or {}).get(m) for m in MARGINS}
     goals = {m: default_targets(cells, m, temper) if t is None else t for m, t in goals.items()}

@@ -150,6 +150,20 @@ def test_mixing_margins(spark):
         assert sum(c["fitted_share"] for c in cells if c["source"] == s) == pytest.approx(w**0.3 / all_, abs=1e-4)
 
 
+def test_mixing_topic_of_the_whole_text(spark):
+    def lines(n, seed):
+        return "\n".join(prose(6, seed * 100 + k) for k in range(n))
+
+    texts = ["\n" + prose(30, 1), "a title\n\n" + lines(5, 2), lines(9, 3), prose(3, 4) + "\n" + "again " * 300, "again\tagain\rother", "", None, "to be\nor not"]
+    texts += [lines(4, k) for k in range(10, 30)]
+    spread = [(i, w) for i, t in enumerate(texts) for w in re.split("[ \n\t\r]", t or "") if len(w) >= 5]
+    counts = {}
+    for r in spark.createDataFrame(spread, "i int, w string").select("i", F.expr("pmod(xxhash64(w), 8)").alias("c")).groupBy("i", "c").count().collect():
+        counts.setdefault(r["i"], []).append((-r["count"], r["c"]))
+    want = {i: (f"t{min(counts[i])[1]}" if i in counts else "t0",) for i in range(len(texts))}
+    assert rows_of(mix(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "topic") == want
+
+
 # ---- 4 archives
 
 
