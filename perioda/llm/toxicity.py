@@ -2,10 +2,12 @@
 
 Two zstandard dictionaries share a base of ordinary words; one ends in pieces of text that toxic documents hold far more
 often than others, the other in as much further ordinary text. A window, a word in a fixed frame that both dictionaries
-know, is compressed with each: how many bytes the toxic dictionary saves is the window's distance. Distances depend on the word alone, so
-each Python worker remembers them. A document is judged by how many of its windows reach the threshold; threshold and
-scores are calibrated on labelled documents that the dictionaries have not seen. Where a class is sampled, its documents count
-in the calibration for as many as they stand for: scores follow the corpus's share of toxic documents, not the sample's.
+know, is compressed with each. The pair (bytes that the toxic dictionary saves, bytes that it still needs) is the window's class: a word that
+is known whole differs from one that only begins alike. Classes depend on the word alone, so each Python worker remembers them.
+Calibration, on labelled documents that the dictionaries have not seen, gives each class its evidence, the logarithm of the ratio of
+its rates per window in toxic and in other documents, the threshold from which evidence counts, and the probability of a
+document's summed evidence (its logarithm, as windows of a document are alike). Where a class of
+documents is sampled, its documents count for as many as they stand for: scores follow the corpus's share of toxic documents.
 """
 
 from __future__ import annotations
@@ -17,12 +19,15 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import without
+
 MAX_LABELLED = 12_000  # documents of each class, about: the fit's bound
 FRAME = b" the quick frame of a window "
 MARK = b"\x01\x01\x01"  # before a word that stands for its class; with MATCH, a match needs the mark and three bytes
@@ -31,7 +36,11 @@ BASE_BYTES, MAX_PIECES = 6_000, 600
 STEMS = range(4, 10)
 EXTENSIONS, LIKE = 10, 2000
 EVIDENCE, LIFT, LEAST = 15.0, 15.0, 5  # of a piece: log-likelihood ratio, frequency ratio, toxic documents
-REMEMBERED = 300_000
+REMEMBERED, LONGEST_KEPT = 300_000, 64  # words, and bytes of one, that a worker keeps
+WINDOW_LOG = 17  # of zstandard: the whole dictionary is within reach
+MOST_SAVED, MOST_NEEDED = 10, 8  # bytes from which classes are one
+PRIOR, SURE = 1.0, 30.0  # windows that stand for what isn't seen; log odds of certainty
+THRESHOLDS = (0.25, 0.5, 1.0, 1.5, 2.0, 3.0)  # of a class's evidence
 EDGES = ".,;:!?|\"'()[]#$%&*"
 
 
@@ -61,24 +70,28 @@ def _evidence(x: int, n: int, y: int, m: int) -> float:
 
 
 class Distance:
-    """Bytes that the toxic dictionary saves on a word, against the ordinary one."""
+    """Class of a word: (bytes that the toxic dictionary saves against the ordinary one, bytes that it needs beyond a known word)."""
 
     def __init__(self, toxic: bytes, ordinary: bytes) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[str, tuple[int, int]] = {}
         self.squeeze = []
         for content in (toxic, ordinary):
             held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            how = zstandard.ZstdCompressionParameters.from_level(9, source_size=128, dict_size=len(content), min_match=MATCH, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+            how = zstandard.ZstdCompressionParameters.from_level(9, source_size=128, dict_size=len(content), window_log=WINDOW_LOG, min_match=MATCH, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
             held.precompute_compress(compression_params=how)
             self.squeeze.append(zstandard.ZstdCompressor(compression_params=how, dict_data=held).compress)
+        self.least = len(self.squeeze[0](FRAME))
 
-    def of(self, word: str) -> int:
+    def of(self, word: str) -> tuple[int, int]:
         d = self.known.get(word)
         if d is None:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
             window = FRAME + MARK + word.strip(EDGES).encode() + b" "
-            d = self.known[word] = len(self.squeeze[1](window)) - len(self.squeeze[0](window))
+            a, b = len(self.squeeze[0](window)), len(self.squeeze[1](window))
+            d = (max(-MOST_SAVED, min(b - a, MOST_SAVED)), min(a - self.least, MOST_NEEDED))
+            if len(word) <= LONGEST_KEPT:
+                self.known[word] = d
         return d
 
 
@@ -123,35 +136,45 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     return common + b" " * (len(both) + 1) + b" " + special + FRAME, common + b" " + filler + b" " + both + b" " + FRAME
 
 
-LEVELS = 6
+def evidence(classes: list[Counter], toxic: list[int]) -> dict[tuple[int, int], float]:
+    """Of each class of windows: the log ratio of its rates in toxic and other documents, drawn to 0 where few windows were seen."""
+    seen = [Counter(), Counter()]
+    for c, y in zip(classes, toxic):
+        for k, n in c.items():
+            seen[y][k] += n
+    size = [sum(c.values()) + 1.0 for c in seen]  # rates are within a class of documents: its weight cancels out
+    share = size[1] / (size[0] + size[1])
+    return {k: math.log((seen[1][k] + PRIOR * share) / size[1]) - math.log((seen[0][k] + PRIOR * (1 - share)) / size[0]) for k in seen[0] | seen[1]}
 
 
-def level(weak: int, strong: int) -> int:
-    """Class of evidence: no window over the lower threshold, one, two, three or more; one over the upper, two or more."""
-    return 3 + min(strong, 2) if strong else min(weak, 3)
+def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float, float]:
+    """(log loss, intercept, slope >= 0) of the weighted logistic regression of y on x."""
+    rows, beta, ridge = np.stack([np.ones_like(x), x], 1), np.zeros(2), np.diag([1e-3, 1e-2])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(rows @ beta, -SURE, SURE)))
+        step = np.linalg.solve((rows * (w * p * (1 - p))[:, None]).T @ rows + ridge, rows.T @ (w * (y - p)) - ridge @ beta)
+        beta += np.clip(step, -2, 2)
+    beta[1] = max(0.0, beta[1])
+    odds = np.clip(rows @ beta, -SURE, SURE)
+    return float(np.sum(w * (np.logaddexp(0, odds) - y * odds))), float(beta[0]), float(beta[1])
 
 
-def calibrate(distance: Distance, texts: list[str], toxic: list[int], weights: tuple[float, float] = (1.0, 1.0)) -> tuple[tuple[int, int], list[float]]:
-    """Thresholds and the probability at each level: those whose probabilities fit the labels best (log loss).
+def calibrate(distance: Distance, texts: list[str], toxic: list[int], weights: tuple[float, float] = (1.0, 1.0)) -> tuple[dict[tuple[int, int], float], tuple[float, float]]:
+    """Evidence of the classes of windows that reach the threshold, and (intercept, slope) of the log odds over the damped sum.
 
-    weights: documents that a sampled one of class 0 and of class 1 stands for.
+    The threshold is the one whose probabilities fit the labels best (log loss). weights: documents that a sampled one of class 0
+    and of class 1 stands for.
     """
-    best = None
-    each = [Counter(map(distance.of, tokens(t))) for t in texts]
-    share = (sum(weights[1] for y in toxic if y) + 0.5) / (sum(weights[y] for y in toxic) + 1)
-    for upper in range(3, 12):
-        for lower in range(2, upper + 1):
-            n, k = [2.0] * LEVELS, [2.0 * share] * LEVELS
-            at = [level(sum(c for d, c in x.items() if lower <= d < upper), sum(c for d, c in x.items() if d >= upper)) for x in each]
-            for a, y in zip(at, toxic):
-                n[a] += weights[y]
-                k[a] += weights[y] * y
-            p = [b / a for a, b in zip(n, k)]
-            for i in range(1, LEVELS):  # more evidence never means less
-                p[i] = max(p[i], p[i - 1])
-            loss = -sum(weights[y] * math.log(p[a] if y else 1 - p[a]) for a, y in zip(at, toxic))
-            if best is None or loss < best[0]:
-                best = (loss, (lower, upper), p)
+    classes = [Counter(map(distance.of, tokens(t))) for t in texts]
+    y = np.array(toxic or [0], dtype=float)
+    w = np.where(y > 0, weights[1], weights[0])
+    found, best = evidence(classes, toxic), None
+    for least in THRESHOLDS:
+        kept = {k: v for k, v in found.items() if v >= least}
+        x = np.array([math.log1p(sum(n * kept[k] for k, n in c.items() if k in kept)) for c in classes] or [0.0])
+        loss, *line = logistic(x, y, w)
+        if best is None or loss < best[0]:
+            best = (loss, kept, (line[0], line[1]))
     return best[1], best[2]
 
 
@@ -164,29 +187,24 @@ def fit_model(texts: list[str], toxic: list[int], sizes: dict[int, int] | None =
     a = [t for t, y, c in zip(texts, toxic, third) if y and not c]
     b = [t for t, y, c in zip(texts, toxic, third) if not y and not c]
     if not a or not b:
-        return pickle.dumps((b"", b"", (98, 99), [float(bool(toxic) and min(toxic) == 1)] * LEVELS))
+        return pickle.dumps((b"", b"", {}, (SURE if toxic and min(toxic) == 1 else -SURE, 0.0)))
     first, second = dictionaries(a, b)
     drawn, held = Counter(toxic), [y for y, c in zip(toxic, third) if c]
     stands = [max(1.0, (sizes or drawn).get(y, 0) / drawn[y]) for y in (0, 1)]
-    thresholds, p = calibrate(Distance(first, second), [t for t, c in zip(texts, third) if c], held, (stands[0], stands[1]))
-    return pickle.dumps((first, second, thresholds, p))
+    return pickle.dumps((first, second, *calibrate(Distance(first, second), [t for t, c in zip(texts, third) if c], held, (stands[0], stands[1]))))
 
 
 @lru_cache(maxsize=4)
-def _loaded(model: bytes) -> tuple[Distance, tuple[int, int], list[float]]:
-    first, second, thresholds, p = pickle.loads(model)
-    return Distance(first or FRAME, second or FRAME), thresholds, p
+def _loaded(model: bytes) -> tuple[Distance, dict[tuple[int, int], float], tuple[float, float]]:
+    first, second, found, line = pickle.loads(model)
+    return Distance(first or FRAME, second or FRAME), found, line
 
 
 def score_text(model: bytes, text: str | None) -> float:
-    """Calibrated probability, moved within its level by the share of windows that count (longer texts without any: less)."""
-    distance, (lower, upper), p = _loaded(model)
-    words = tokens(text)
-    found = [d for d in map(distance.of, words) if d >= lower]
-    strong = sum(d >= upper for d in found)
-    at, n = level(len(found) - strong, strong), len(words)
-    step = (p[at + 1] if at + 1 < LEVELS else 1.0) - p[at] if found else p[at]
-    return min(1.0, max(0.0, p[at] + 0.01 * step * ((len(found) / n if found else 1 / (n + 2)) if n else 0.0)))
+    """Calibrated probability of the text's summed evidence."""
+    distance, found, (intercept, slope) = _loaded(model)
+    odds = intercept + slope * math.log1p(sum(found.get(k, 0.0) for k in map(distance.of, tokens(text))))
+    return 1 / (1 + math.exp(-max(-SURE, min(odds, SURE))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "toxic", usable: Column | None = None, max_labelled: int = MAX_LABELLED) -> bytes:
@@ -218,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
 def score(docs: DataFrame, model: bytes, *, text: str = "text", out: str = "score") -> DataFrame:
     """docs with `out` (double, 0 to 1): null and empty texts get the score of a text without windows; rows are scored one by one, so
     repeated rows score alike; an input column of that name is replaced; an empty table gives an empty one."""
-    docs = docs.drop(out)
+    docs = without(docs, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
