@@ -187,7 +187,7 @@ def fit_model(texts: list[str], toxic: list[int], sizes: dict[int, int] | None =
     a = [t for t, y, c in zip(texts, toxic, third) if y and not c]
     b = [t for t, y, c in zip(texts, toxic, third) if not y and not c]
     if not a or not b:
-        return pickle.dumps((b"", b"", {}, (SURE if toxic and min(toxic) == 1 else -SURE, 0.0)))
+        return pickle.dumps((b"", b"", {}, (math.inf if toxic and min(toxic) == 1 else -math.inf, 0.0)))
     first, second = dictionaries(a, b)
     drawn, held = Counter(toxic), [y for y, c in zip(toxic, third) if c]
     stands = [max(1.0, (sizes or drawn).get(y, 0) / drawn[y]) for y in (0, 1)]
@@ -203,6 +203,8 @@ def _loaded(model: bytes) -> tuple[Distance, dict[tuple[int, int], float], tuple
 def score_text(model: bytes, text: str | None) -> float:
     """Calibrated probability of the text's summed evidence."""
     distance, found, (intercept, slope) = _loaded(model)
+    if math.isinf(intercept):  # one class only
+        return float(intercept > 0)
     odds = intercept + slope * math.log1p(sum(found.get(k, 0.0) for k in map(distance.of, tokens(text))))
     return 1 / (1 + math.exp(-max(-SURE, min(odds, SURE))))
 
