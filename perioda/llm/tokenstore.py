@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -29,11 +30,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .chunks import MEET_RE2, unpack
-from .common import id_blocks, new_folder, remove_folder, settle
+from .common import new_folder, remove_folder, settle, with_blocks
 
 WINDOW, MEAN_BITS, LEAST, MOST = 16, 9, 64, 4096  # ids: of the rolling hash, log2 of the mean chunk, bounds of a chunk
 ROWS_PER_BLOCK = 2048
-REMEMBERED = 600_000
+REMEMBERED, ENTRY = 128 << 20, 160  # bytes of kept pieces in a Python worker; of each besides its text and ids, about
+LINES = 10_000  # of a text that is made of pieces
 SEGMENT = 1 << 16  # bytes of a pack that are compressed together, about
 BATCH_BYTES = 16 << 20  # of text that are encoded at once
 DIGEST = 16
@@ -42,17 +44,22 @@ _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """The tokenizers library's ids of a text as packed little-endian integers of `width` bytes."""
+    """The tokenizers library's ids of a text as packed little-endian integers of `width` bytes.
 
-    def __init__(self, path: str) -> None:
+    Pieces between spaces repeat, so their ids are kept, REMEMBERED bytes at most in each Python worker, and looked up.
+    """
+
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.kind, self.limit = f"<u{self.width}", remembered
+        self.added = pa.scalar("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"\x00")
+        newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.newline = newline[0] if len(newline) == 1 else None
+        self.forget()
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -60,72 +67,115 @@ class Encoder:
             _encoders[path] = Encoder(path)
         return _encoders[path]
 
-    def packed(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text, without remembering."""
-        kind = "H" if self.width == 2 else "I"
-        return [struct.pack(f"<{len(ids)}{kind}", *ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for ids in (e.ids,)]
-
-    def remembered(self, keys_: list[str]) -> list[bytes]:
-        """Packed ids of distinct keys. They are remembered in two generations: when the young one is full it becomes the old one, and what
-        is met again moves back to the young one; keys in neither are encoded in one batch."""
-        if len(self.known) > REMEMBERED:
-            self.old, self.known = self.known, {}
-        known, old = self.known, self.old
-        new = [k for k in keys_ if k not in known]
-        for k in new:
-            if k in old:
-                known[k] = old[k]
-        new = [k for k in new if k not in known]
-        parts = [unpack(k) for k in new]
-        made = iter(self.packed([p for x in parts for p in x]))
-        for k, x in zip(new, parts):
-            known[k] = next(made) if len(x) == 1 else b"".join([next(made) for _ in x])
-        return [known[k] for k in keys_]
+    def forget(self) -> None:
+        self.slots: dict[str, int] = {}  # of a key: where its first id and their number are kept
+        self.first, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.blob, self.used, self.held = np.zeros(1 << 14, self.kind), 0, 0
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, as the library gives them."""
+        return [np.array(e.ids, dtype=self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def together(self, keys_: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, count) of keys whose words neither begin nor end in white space: encoded as lines of one text.
+
+        A line end is a token of its own there, so the lines' ids lie between its ids. A key that begins with a line end takes the one before.
+        """
+        starts = np.array([k[0] == "\n" for k in keys_])
+        lines = [" " + k if k[0] > "\n" else k[2:] if k[0] == "\n" else k[1:] for k in keys_]
+        found = self.ids(["\n" + "\n".join(lines[i : i + LINES]) for i in range(0, len(lines), LINES)])
+        ids = np.concatenate([*found, np.array([self.newline], self.kind)])
+        ends = np.flatnonzero(ids == self.newline)
+        if len(ends) != len(keys_) + 1:
+            raise ValueError("the tokenizer joins tokens across line ends")
+        return ids, ends[:-1] + ~starts, np.diff(ends) - ~starts
+
+    def learn(self, keys_: list[str]) -> None:
+        """Keep the ids of keys that are not kept yet."""
+        plain = [k for k in keys_ if k and not k[-1].isspace() and (k[0] > " " or k[:2] == "\n\0" and len(k) > 2 or k[0] == "\0" and len(k) > 1 and not k[1].isspace())] if self.newline is not None else []
+        taken = set(plain) if len(plain) < len(keys_) else ()
+        other = [k for k in keys_ if k not in taken] if taken or not plain else []
+        groups = [(plain, *self.together(plain))] if plain else []
+        if other:
+            parts = [unpack(k) for k in other]
+            made = iter(self.ids([p for x in parts for p in x]))
+            each = [np.concatenate([next(made) for _ in x]) for x in parts]
+            sizes = np.fromiter(map(len, each), np.int64, len(each))
+            groups.append((other, np.concatenate(each), np.cumsum(sizes) - sizes, sizes))
+        for names, ids, first, count in groups:
+            n, m = len(self.slots), len(self.slots) + len(names)
+            self.blob = _grown(self.blob, self.used, len(ids))
+            self.blob[self.used : self.used + len(ids)] = ids
+            self.first, self.count = _grown(self.first, n, len(names)), _grown(self.count, n, len(names))
+            self.first[n:m], self.count[n:m] = first + self.used, count
+            self.used += len(ids)
+            self.slots.update(zip(names, range(n, m)))
+            self.held += len(names) * ENTRY + 2 * sum(map(len, names)) + 2 * ids.nbytes
+
+    def places(self, keys_: list[str]) -> np.ndarray:
+        """Slots of distinct keys; when what is kept grows past the limit all of it is dropped first."""
+        found = list(map(self.slots.get, keys_))
+        new = [k for k, s in zip(keys_, found) if s is None]
+        if new:
+            if self.held + len(new) * ENTRY > self.limit:
+                self.forget()
+                new = keys_
+            self.learn(new)
+            found = list(map(self.slots.__getitem__, keys_))
+        return np.array(found, dtype=np.int64)
 
     def encode(self, texts: pa.Array, end: int) -> pa.Array:
         """Packed ids of each text (null: empty) with the end id. Texts are cut into pieces, distinct pieces are looked up once, and ids are
-        gathered by position; texts in which white space meets are encoded whole."""
+        gathered by position; texts in which white space meets, or that hold an added token, are encoded whole."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = np.asarray(pc.match_substring_regex(texts, MEET_RE2))
+        odd = np.asarray(pc.or_(pc.match_substring_regex(texts, MEET_RE2), pc.match_substring_regex(texts, self.added.as_py())))
         plain = texts.filter(pa.array(~odd))
         cut = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), plain, pa.scalar("", pa.large_string())), "\n", " \n\0"), " ")
         words = cut.flatten().dictionary_encode()
-        ids = self.remembered(words.dictionary.to_pylist())
-        kind = f"<u{self.width}"
-        blob = np.frombuffer(b"".join(ids), dtype=kind)
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // self.width
-        first = np.cumsum(sizes) - sizes
-        at = np.asarray(words.indices)
-        each = sizes[at]
+        slots = self.places(words.dictionary.to_pylist())
+        at = slots[np.asarray(words.indices)] if len(slots) else np.zeros(0, np.int64)
+        each = self.count[at]
         upto = np.concatenate(([0], np.cumsum(each)))
         ends = upto[np.asarray(cut.offsets) - cut.offsets[0].as_py()]  # ids before each document, and all
         n = len(plain)
-        out = np.full(int(ends[-1]) + n, end, dtype=kind)
-        source = np.repeat(first[at] - upto[:-1], each) + np.arange(upto[-1])
-        out[np.arange(upto[-1]) + np.repeat(np.arange(n), np.diff(ends))] = blob[source]
+        out = np.full(int(ends[-1]) + n, end, dtype=self.kind)
+        source = np.repeat(self.first[at] - upto[:-1], each) + np.arange(upto[-1])
+        out[np.arange(upto[-1]) + np.repeat(np.arange(n), np.diff(ends))] = self.blob[source]
         offsets = (ends + np.arange(n + 1)) * self.width
         found = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)])
         if odd.any():
             tail = end.to_bytes(self.width, "little")
-            whole = pa.array([x + tail for x in self.packed(texts.filter(pa.array(odd)).to_pylist())], pa.large_binary())
+            whole = pa.array([x.tobytes() + tail for x in self.ids(texts.filter(pa.array(odd)).to_pylist())], pa.large_binary())
             place = np.where(odd, n + np.cumsum(odd) - 1, np.cumsum(~odd) - 1)
             found = pa.concat_arrays([found, whole]).take(pa.array(place))
         return found.cast(pa.binary())
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an array of ids: after ids where the rolling hash of the last WINDOW ids has its low bits set."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
+def _grown(array: np.ndarray, used: int, more: int) -> np.ndarray:
+    """array with room for `more` items after the first `used`."""
+    if used + more <= len(array):
+        return array
+    out = np.zeros(max(2 * len(array), used + more), array.dtype)
+    out[:used] = array[:used]
+    return out
+
+
+def rolling_marks(ids: np.ndarray) -> np.ndarray:
+    """Ends (1 + position) where the rolling hash of the last WINDOW ids has its low bits set."""
     mixed = (ids.astype(np.uint32) + np.uint32(1)) * np.uint32(2654435761)
     mixed ^= mixed >> np.uint32(15)
-    rolling = np.zeros(n, dtype=np.uint32)
+    rolling = np.zeros(len(ids), dtype=np.uint32)
     for j in range(WINDOW):
-        rolling[j:] += mixed[: n - j] << np.uint32(j)
+        rolling[j:] += mixed[: max(0, len(ids) - j)] << np.uint32(j)
     rolling *= np.uint32(2246822519)
+    return np.flatnonzero(rolling >> np.uint32(32 - MEAN_BITS) == 0) + 1
+
+
+def cut_points(n: int, marks: list[int]) -> list[int]:
+    """Ends of the chunks of n ids: at marks, LEAST ids or more from the last end, MOST at most. The first LEAST ids hold none, so
+    marks may be made over many documents in a row: a window that reaches into the one before is never used."""
     ends, last = [], 0
-    for e in (np.flatnonzero(rolling >> np.uint32(32 - MEAN_BITS) == 0) + 1).tolist():
+    for e in marks:
         while e - last > MOST:
             last += MOST
             ends.append(last)
@@ -195,7 +245,8 @@ def encode_rows(docs: DataFrame, tokenizer: str, *, text: str, key: str, end_id:
                 lo = hi
 
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).cast("long").alias("__key"), F.xxhash64(body).alias("__tie"), id_blocks(docs, key, ROWS_PER_BLOCK).alias("__block"), body.alias("__text"))
+    rows = docs.select(F.col(key).cast("long").alias("__key"), F.xxhash64(body).alias("__tie"), body.alias("__text"))
+    rows = with_blocks(rows, "__key", "__tie", ROWS_PER_BLOCK).select("__key", "__tie", "__block", "__text")
     return rows.mapInArrow(run, "__key long, __tie long, __block long, ids binary")
 
 
@@ -211,16 +262,19 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, *, text: str = "te
         pdf = pdf.sort_values(["__key", "__tie"], na_position="first", kind="stable")
         block = int(pdf["__block"].iloc[0])
         marks, lengths, counts = [], [], []
-        for data in pdf["ids"]:
-            ids = np.frombuffer(data, dtype=f"<u{width}")
+        body = b"".join(pdf["ids"])
+        upto = np.cumsum([0, *map(len, pdf["ids"])]) // width
+        found = rolling_marks(np.frombuffer(body, dtype=f"<u{width}"))
+        within = np.searchsorted(found, upto, "right")
+        for lo, hi, a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), within[:-1].tolist(), within[1:].tolist()):
             last, n = 0, 0
-            for e in cut_points(ids):
-                marks.append(digest(data[last * width : e * width]))
+            for e in cut_points(hi - lo, (found[a:b] - lo).tolist()):
+                marks.append(digest(body[(lo + last) * width : (lo + e) * width]))
                 lengths.append(e - last)
                 last, n = e, n + 1
             counts.append(n)
         keys_ = [None if pd.isna(k) else int(k) for k in pdf["__key"]]
-        body = zstandard.compress(b"".join(pdf["ids"]), 1)
+        body = zstandard.compress(body, 1)
         table = struct.pack("<QQ", len(counts), len(lengths)) + b"".join(struct.pack("<?q", k is None, k or 0) for k in keys_)
         table += np.asarray(counts, "<u4").tobytes() + np.asarray(lengths, "<u4").tobytes() + b"".join(marks)
         put(f"{folder}/staging", pack_name(block, "ids"), struct.pack("<Q", len(table)) + table + body)
@@ -344,7 +398,7 @@ def recipes(folder: str, block: int) -> Iterator[tuple[int | None, int, bytes, l
 
 def read_store(manifest: DataFrame, folder: str, *, ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, and ids if asked for) of every document, rebuilt from the files."""
-    before = F.sum("ids").over(W.partitionBy("__all").orderBy("block").rowsBetween(W.unboundedPreceding, -1))  # a row for each block
+    before = F.sum("ids").over(W.partitionBy("__all").orderBy("block").rowsBetween(W.unboundedPreceding, -1))  # a row for each block: 524,288 at most
     parts = max(8, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     todo = manifest.withColumn("__all", F.lit(0)).select("block", F.coalesce(before, F.lit(0)).alias("start")).repartition(parts, "block")
 

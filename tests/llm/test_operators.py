@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from perioda.llm import bpe, minhash, suffix, tokenstore, toxicity, warc
-from perioda.llm.common import id_blocks
+from perioda.llm.common import with_blocks
 from perioda.llm.exact_dedup import exact_dedup
 from perioda.llm.fingerprint import combine, fingerprint_edits, likeness, to_string, with_fingerprint
 from perioda.llm.mixing import mix
@@ -108,7 +108,7 @@ def test_homomorphism(spark):
 
 def test_many_sentences(spark):
     many = "x." * 20_000
-    # two lines of half as many sentences give the same counts, modulo 2**14
+    # two lines of half as many sentences give the same counts
     halves = "x." * 10_000 + "\n" + "x." * 10_000
     df = with_fingerprint(with_fingerprint(spark.createDataFrame([(many, halves)], "t string, u string"), "t", "a"), "u", "b")
     r = df.first()
@@ -116,10 +116,14 @@ def test_many_sentences(spark):
 
 
 def test_blocks_rise_with_keys(spark):
-    df = spark.createDataFrame([(i * i,) for i in range(500)] + [(None,)], "k long")
-    rows = df.withColumn("b", id_blocks(df, "k", 20)).orderBy(F.asc_nulls_first("k")).collect()
+    """Clustered, repeated and null keys: blocks rise with (key, tie) and none holds much more than its share."""
+    keys = [i * i for i in range(3000)] + list(range(10**9, 10**9 + 1000)) + [77] * 3000 + [None] * 1000
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long").withColumn("t", F.xxhash64("i"))
+    rows = with_blocks(df, "k", "t", 20, out="b").orderBy(F.asc_nulls_first("k"), "t").collect()
     blocks = [r["b"] for r in rows]
-    assert blocks == sorted(blocks) and len(set(blocks)) > 10
+    assert blocks == sorted(blocks) and len(set(blocks)) > 250
+    assert max(blocks.count(b) for b in set(blocks)) < 150
+    assert with_blocks(df.limit(0), "k", "t", 20).count() == 0
 
 
 # ---- 3 mixing
@@ -325,7 +329,6 @@ def ids_of(texts):
     import tokenizers
 
     t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [e.ids + [0] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -359,9 +362,10 @@ def test_chunks_follow_content():
     r = np.random.default_rng(1)
     a = r.integers(0, 50_000, 20_000).astype(np.uint16)
     b = np.concatenate((r.integers(0, 50_000, 777).astype(np.uint16), a))
-    cut = lambda x: {x[i:j].tobytes() for i, j in zip([0, *tokenstore.cut_points(x)], tokenstore.cut_points(x))}
+    ends = lambda x: tokenstore.cut_points(len(x), tokenstore.rolling_marks(x).tolist())
+    cut = lambda x: {x[i:j].tobytes() for i, j in zip([0, *ends(x)], ends(x))}
     assert len(cut(a) & cut(b)) >= len(cut(a)) - 3
-    assert tokenstore.cut_points(np.zeros(9000, np.uint16))[-1] == 9000
+    assert ends(np.zeros(9000, np.uint16))[-1] == 9000
 
 
 # ---- 9 near duplicates
