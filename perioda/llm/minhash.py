@@ -3,11 +3,11 @@
 1. Each text becomes a set of word-shingle hashes; one permutation (the hash itself) deals them to BINS bins, a bin's least hash
    is its signature, and an empty bin borrows from the bin that a fixed sequence of probes finds first (optimal densification).
 2. Documents of equal sets become one node: all that follows sees a group of copies as one row.
-3. Bands of ROWS bins are buckets. In a bucket each node is paired with hubs only, the most central nodes: a bucket of m nodes gives at most
+3. Bands of ROWS bins are buckets; of buckets with the same nodes one is kept. In a bucket each node is paired with hubs only, the most central nodes: a bucket of m nodes gives at most
    m pairs in the first round and HUBS[r] * m in later ones, whatever m is.
 4. Pairs are confirmed on their full sets.
-5. Links are merged to components by rounds of stars. Buckets that still hold several components get further hubs, and only pairs across
-   components are tried. Hubs only spare work: nodes of buckets that hold several components after the last round are
+5. Links are merged to components by rounds of stars. Buckets that hold one component are dropped; the others get further hubs, and only
+   pairs across components are tried. Hubs only spare work: nodes of buckets that hold several components after the last round are
    joined by prefixes of their sets in a common order, rare shingles first. That leaves out only pairs of one component and pairs that
    sizes or positions rule out exactly; all others are confirmed, so no link within a bucket is lost.
 A link of exactly the threshold shares no bucket with a chance of (1 - t**ROWS)**BANDS: under 1e-6 for 0.85.
@@ -138,18 +138,29 @@ def sketches(docs: DataFrame, *, text: str, key: str, width: int) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text)).mapInArrow(run, "id long, n long, h1 long, h2 long, sig binary, bands array<long>")
 
 
+def distinct_buckets(spread: DataFrame) -> DataFrame:
+    """(bucket, node, size) of buckets with several nodes; of buckets that hold the same nodes, one.
+
+    Copies with few changes share most of their bands. Buckets are compared by the number of their nodes and two sums of hashes
+    of them, combined on the map side.
+    """
+    held = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.expr("bit_xor(xxhash64(id, 1))").alias("x"), F.expr("bit_xor(xxhash64(id, 2))").alias("y")).where("size > 1")
+    shared = held.groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
+    return spread.join(shared, "bucket").select("bucket", F.col("id").alias("node"), "size")
+
+
 def candidate_pairs(buckets: DataFrame, hubs_of: int, round_: int) -> DataFrame:
     """Distinct (a, b, ca, cb), a < b, of nodes that share a bucket and of which one is a hub there; ca and cb are their components.
 
-    buckets: (bucket, node, central, comp); only pairs across components. A hub is the most central node of one of `hubs_of` hash classes of
-    a bucket. Central is a node that shares many buckets with many others: of copies with more or fewer changes, the least changed.
-    Hubs are combined on the map side; the join back on the bucket is one that AQE may split.
+    buckets: (bucket, node, central, comp), each with several components; only pairs across components. A hub is the most central node of one of
+    `hubs_of` hash classes of a bucket. Central is a node that shares many buckets with many others: of copies with more or fewer
+    changes, the least changed. Hubs are combined on the map side; the join back on the bucket is one that AQE may split.
     """
     best = []
     for k in range(hubs_of):
         own = F.struct("central", (-F.col("node")).alias("n"), "node", "comp")
         best.append(F.max(own if hubs_of == 1 else F.when(F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(hubs_of)) == k, own)).alias(f"h{k}"))
-    hubs = buckets.groupBy("bucket").agg(F.min("comp").alias("__lo"), F.max("comp").alias("__hi"), *best).where("__lo < __hi")
+    hubs = buckets.groupBy("bucket").agg(*best)
     hubs = hubs.select("bucket", F.filter(F.array(*[f"h{k}" for k in range(hubs_of)]), lambda h: h.isNotNull()).alias("hubs"))
     met = buckets.join(hubs, "bucket").withColumn("h", F.explode(F.filter("hubs", lambda h: h["comp"] != F.col("comp"))))
     first = F.col("node") < F.col("h.node")
@@ -157,6 +168,12 @@ def candidate_pairs(buckets: DataFrame, hubs_of: int, round_: int) -> DataFrame:
     return met.select(pick(F.col("node"), F.col("h.node")).alias("a"), pick(F.col("h.node"), F.col("node")).alias("b"), pick(F.col("comp"), F.col("h.comp")).alias("ca"), pick(F.col("h.comp"), F.col("comp")).alias("cb")).distinct()
 
 
+def unfinished(buckets: DataFrame) -> DataFrame:
+    """The buckets that hold several components: where only one is left, no pair is tried any more."""
+    several = buckets.groupBy("bucket").agg(F.min("comp").alias("__lo"), F.max("comp").alias("__hi")).where("__lo < __hi").select("bucket")
+    return buckets.join(several, "bucket", "left_semi")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     """(ca, cb) of the pairs with den * |intersection| >= num * |union| on their full sets (least = num / den)."""
     num, den = least.numerator, least.denominator
@@ -280,6 +297,8 @@ def components(edges: DataFrame, name: str, most: int = 40) -> DataFrame:
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components did not settle in {most} rounds")
     heads = edges.select(F.col("b").alias("node"), F.col("b").alias("comp"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(heads).groupBy("node").agg(F.min("comp").alias("comp"))
 
@@ -294,32 +313,35 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     sketch = settle(sketches(docs, text=text, key=key, width=width), "near-sketches")
     usable = sketch.where("n > 0 and id is not null")
     nodes = settle(usable.groupBy("n", "h1", "h2").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "near-nodes")
-    spread = nodes.select("id", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = settle(spread.join(shared, "bucket").select("bucket", F.col("id").alias("node"), "size"), "near-buckets")
+    buckets = settle(distinct_buckets(nodes.select("id", F.explode("bands").alias("bucket"))), "near-buckets")
     central = buckets.groupBy("node").agg(F.sum("size").alias("central"))
     buckets = settle(buckets.join(central, "node").select("bucket", "node", "central", F.col("node").alias("comp")), "near-central")
     wanted = buckets.select(F.col("node").alias("id")).distinct()
     sets = settle(full_sets(docs, wanted, text=text, key=key, width=width), "near-sets")
+    labels = None  # (node, comp) of the nodes that have links
 
-    def merged(pairs: DataFrame, r: int) -> DataFrame | None:
-        """The buckets with components merged along the pairs that are links; None without any."""
+    def merge(pairs: DataFrame, r: int) -> bool:
+        """Components are merged along the pairs that are links; buckets and labels follow. False without any link."""
+        nonlocal buckets, labels
         links = settle(confirmed(pairs, sets, least).distinct(), f"near-links-{r}")
         if links.isEmpty():
-            return None
-        moved = components(links, f"near-components-{r}").select(F.col("node").alias("comp"), F.col("comp").alias("__to"))
-        return settle(buckets.join(moved, "comp", "left").select("bucket", "node", "central", F.coalesce("__to", "comp").alias("comp")), f"near-buckets-{r}")
+            return False
+        moved = settle(components(links, f"near-components-{r}").select(F.col("node").alias("comp"), F.col("comp").alias("__to")), f"near-moved-{r}")
+        new = moved.select(F.col("comp").alias("node"), F.col("__to").alias("comp"))
+        if labels is not None:
+            new = labels.join(moved, "comp", "left").select("node", F.coalesce("__to", "comp").alias("comp")).union(new).distinct()
+        labels = settle(new, f"near-labels-{r}")
+        if r < len(HUBS):
+            buckets = settle(unfinished(buckets.join(moved, "comp", "left").select("bucket", "node", "central", F.coalesce("__to", "comp").alias("comp"))), f"near-buckets-{r}")
+        return True
 
     for r, hubs_of in enumerate(HUBS):
-        after = merged(candidate_pairs(buckets, hubs_of, r), r)
-        if after is None and r:
+        if buckets.isEmpty() or not merge(candidate_pairs(buckets, hubs_of, r), r) and r:
             break
-        buckets = after or buckets
-    several = buckets.groupBy("bucket").agg(F.min("comp").alias("__lo"), F.max("comp").alias("__hi")).where("__lo < __hi").select("bucket")
-    unsettled = buckets.join(several, "bucket", "left_semi").select(F.col("node").alias("id"), "comp").distinct()
-    unsettled = settle(sets.join(unsettled, "id"), "near-unsettled")
-    buckets = merged(prefix_pairs(prefixes(unsettled, least), least), len(HUBS)) or buckets
-    labels = buckets.select("node", "comp").distinct()
+    if not buckets.isEmpty():
+        unsettled = settle(sets.join(buckets.select(F.col("node").alias("id"), "comp").distinct(), "id"), "near-unsettled")
+        merge(prefix_pairs(prefixes(unsettled, least), least), len(HUBS))
+    labels = nodes.select(F.col("id").alias("node"), F.col("id").alias("comp")).limit(0) if labels is None else labels
     heads = nodes.select("n", "h1", "h2", F.col("id").alias("node"))
     rows = sketch.join(heads, ["n", "h1", "h2"], "left").join(labels, "node", "left")
     own = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.coalesce("comp", "node")).otherwise(F.col("id"))
