@@ -62,8 +62,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    rows = kd_shards(docs.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")))))
+    """Cut by length and language; sources would part equal texts, as copies of a text stand in several."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    rows = kd_shards(docs.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")))), categories=("lang",))
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
