@@ -16,7 +16,7 @@ import re
 import struct
 import uuid
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +34,10 @@ from .common import new_folder, remove_folder, settle, with_blocks
 
 WINDOW, MEAN_BITS, LEAST, MOST = 16, 9, 64, 4096  # ids: of the rolling hash, log2 of the mean chunk, bounds of a chunk
 ROWS_PER_BLOCK = 2048
-REMEMBERED, ENTRY = 128 << 20, 160  # bytes of kept pieces in a Python worker; of each besides its text and ids, about
+REMEMBERED, ENTRY = 128 << 20, 220  # bytes of kept pieces in a Python worker; of each besides its characters and ids, about
 LINES = 10_000  # of a text that is made of pieces
 SEGMENT = 1 << 16  # bytes of a pack that are compressed together, about
-BATCH_BYTES = 16 << 20  # of text that are encoded at once
+BATCH_BYTES = 8 << 20  # of text that are encoded at once
 DIGEST = 16
 MAGIC = b"IDPACK01"
 _encoders: dict[str, Encoder] = {}
@@ -46,7 +46,7 @@ _encoders: dict[str, Encoder] = {}
 class Encoder:
     """The tokenizers library's ids of a text as packed little-endian integers of `width` bytes.
 
-    Pieces between spaces repeat, so their ids are kept, REMEMBERED bytes at most in each Python worker, and looked up.
+    Pieces between spaces repeat, so their ids are kept, REMEMBERED bytes and those of a batch at most in each Python worker, and looked up.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
@@ -68,8 +68,8 @@ class Encoder:
         return _encoders[path]
 
     def forget(self) -> None:
-        self.slots: dict[str, int] = {}  # of a key: where its first id and their number are kept
-        self.first, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.slots: dict[str, int] = {}  # of a key: where its first id and their number are kept, and how often batches have met it
+        self.first, self.count, self.met = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
         self.blob, self.used, self.held = np.zeros(1 << 14, self.kind), 0, 0
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -106,23 +106,42 @@ class Encoder:
             n, m = len(self.slots), len(self.slots) + len(names)
             self.blob = _grown(self.blob, self.used, len(ids))
             self.blob[self.used : self.used + len(ids)] = ids
-            self.first, self.count = _grown(self.first, n, len(names)), _grown(self.count, n, len(names))
-            self.first[n:m], self.count[n:m] = first + self.used, count
+            self.first, self.count, self.met = _grown(self.first, n, len(names)), _grown(self.count, n, len(names)), _grown(self.met, n, len(names))
+            self.first[n:m], self.count[n:m], self.met[n:m] = first + self.used, count, 0
             self.used += len(ids)
             self.slots.update(zip(names, range(n, m)))
-            self.held += len(names) * ENTRY + 2 * sum(map(len, names)) + 2 * ids.nbytes
+            self.held += len(names) * ENTRY + sum(map(len, names)) + ids.nbytes
+
+    def prune(self) -> None:
+        """Drop what fewer batches have met, until half of the limit is free."""
+        n = len(self.slots)
+        met, keys_ = self.met[:n], list(self.slots)
+        least = 2
+        while (kept := np.flatnonzero(met >= least)).size * ENTRY > self.limit // 4:
+            least *= 2
+        names = [keys_[i] for i in kept.tolist()]
+        count, first, old = self.count[kept], self.first[kept], self.blob
+        at = np.cumsum(count) - count
+        ids = old[np.repeat(first - at, count) + np.arange(int(count.sum()))]
+        size = ENTRY * len(names) + sum(map(len, names)) + ids.nbytes
+        self.forget()
+        if size <= self.limit // 2:
+            self.blob, self.used, self.held = ids, len(ids), size
+            self.slots = dict(zip(names, range(len(names))))
+            self.first, self.count, self.met = at, count, np.ones(len(names), np.int32)
 
     def places(self, keys_: list[str]) -> np.ndarray:
-        """Slots of distinct keys; when what is kept grows past the limit all of it is dropped first."""
+        """Slots of distinct keys. When what is kept grows past the limit, what few batches have met is dropped first."""
+        if self.held > self.limit:
+            self.prune()
         found = list(map(self.slots.get, keys_))
         new = [k for k, s in zip(keys_, found) if s is None]
         if new:
-            if self.held + len(new) * ENTRY > self.limit:
-                self.forget()
-                new = keys_
             self.learn(new)
             found = list(map(self.slots.__getitem__, keys_))
-        return np.array(found, dtype=np.int64)
+        at = np.array(found, dtype=np.int64)
+        self.met[at] += 1
+        return at
 
     def encode(self, texts: pa.Array, end: int) -> pa.Array:
         """Packed ids of each text (null: empty) with the end id. Texts are cut into pieces, distinct pieces are looked up once, and ids are
@@ -327,7 +346,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, *, text: str = "te
 
 
 def packed_file(width: int, kept: dict[bytes, tuple[int, int]], data: bytes) -> bytes:
-    """Pack: head, chunk index (digest, first byte, bytes), segment table (first byte of data, first byte of file), segments."""
+    """Pack: head, chunk index (digest, first byte, bytes; in order of the digests), segment table (first byte of data, first byte of file), segments."""
     ends, squeeze = [0], zstandard.ZstdCompressor(level=3)
     for a, n in kept.values():
         if a + n - ends[-1] >= SEGMENT:
@@ -335,14 +354,14 @@ def packed_file(width: int, kept: dict[bytes, tuple[int, int]], data: bytes) ->
     if ends[-1] < len(data):
         ends.append(len(data))
     segments = [squeeze.compress(data[a:b]) for a, b in zip(ends, ends[1:])]
-    index = b"".join([k + struct.pack("<QI", *v) for k, v in kept.items()])
+    index = b"".join([k + struct.pack("<QI", *v) for k, v in sorted(kept.items())])
     starts = np.cumsum([0, *map(len, segments)])
     table = struct.pack("<Q", len(ends)) + b"".join(struct.pack("<QQ", int(a), int(b)) for a, b in zip(ends, starts))
     return MAGIC + struct.pack("<BQQ", width, len(index), len(table)) + index + table + b"".join(segments)
 
 
 class Pack:
-    """Index of a pack; a chunk is read by decompressing its segment (chunks never cross segments)."""
+    """Index of a pack, searched as it lies; a chunk is read by decompressing its segment (chunks never cross segments)."""
 
     def __init__(self, folder: str, block: int) -> None:
         fs, base = pafs.FileSystem.from_uri(folder)
@@ -353,8 +372,7 @@ class Pack:
             raise ValueError(f"block {block}: not a pack")
         self.width, n, m = struct.unpack_from("<BQQ", head, len(MAGIC))
         rest = self.file.read_at(n + m, size)
-        self.start, step = size + n + m, DIGEST + 12
-        self.at = {rest[i : i + DIGEST]: struct.unpack_from("<QI", rest, i + DIGEST) for i in range(0, n, step)}
+        self.start, self.index = size + n + m, rest[:n]
         (k,) = struct.unpack_from("<Q", rest, n)
         pairs = struct.unpack_from(f"<{2 * k}Q", rest, n + 8)
         self.ends, self.files = pairs[::2], pairs[1::2]
@@ -368,7 +386,11 @@ class Pack:
         return self.last[1]
 
     def chunk(self, mark: bytes) -> bytes:
-        where, length = self.at[mark]
+        step = DIGEST + 12
+        i = step * bisect_left(range(len(self.index) // step), mark, key=lambda i: self.index[step * i : step * i + DIGEST])
+        if self.index[i : i + DIGEST] != mark:
+            raise ValueError(f"chunk {mark.hex()} is not in its pack")
+        where, length = struct.unpack_from("<QI", self.index, i + DIGEST)
         k = bisect_right(self.ends, where) - 1
         data = self.segment(k)[where - self.ends[k] : where - self.ends[k] + length]
         if digest(data) != mark:
