@@ -37,7 +37,7 @@ ROWS_PER_BLOCK = 2048
 REMEMBERED, ENTRY = 128 << 20, 220  # bytes of kept pieces in a Python worker; of each besides its characters and ids, about
 LINES = 10_000  # of a text that is made of pieces
 SEGMENT = 1 << 16  # bytes of a pack that are compressed together, about
-BATCH_BYTES = 8 << 20  # of text that are encoded at once
+BATCH_BYTES = 16 << 20  # of text that are encoded at once
 DIGEST = 16
 MAGIC = b"IDPACK01"
 _encoders: dict[str, Encoder] = {}
@@ -59,6 +59,8 @@ class Encoder:
         self.added = pa.scalar("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"\x00")
         newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.newline = newline[0] if len(newline) == 1 else None
+        self.spaces = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=bool)  # tokens with a space: byte-level vocabularies write it so
+        self.spaces[[i for t, i in self.tokenizer.get_vocab().items() if "\u0120" in t]] = True
         self.forget()
 
     @staticmethod
@@ -76,32 +78,41 @@ class Encoder:
         """Ids of each text, as the library gives them."""
         return [np.array(e.ids, dtype=self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def together(self, keys_: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, first, count) of keys whose words neither begin nor end in white space: encoded as lines of one text.
+    def spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """(ids, first, count) of each word after a space: encoded side by side, as only a word's first token holds a space."""
+        ids = np.concatenate(self.ids([" " + " ".join(words[i : i + LINES]) for i in range(0, len(words), LINES)]))
+        first = np.flatnonzero(self.spaces[ids])
+        return (ids, first, np.diff(first, append=len(ids))) if len(first) == len(words) else None
 
-        A line end is a token of its own there, so the lines' ids lie between its ids. A key that begins with a line end takes the one before.
-        """
+    def lined(self, keys_: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """(ids, first, count) of keys that begin a text or a line: encoded as lines of one text. A line end is a token of its own there; a
+        key that begins with a line end takes the one before."""
         starts = np.array([k[0] == "\n" for k in keys_])
-        lines = [" " + k if k[0] > "\n" else k[2:] if k[0] == "\n" else k[1:] for k in keys_]
+        lines = [k[2:] if k[0] == "\n" else k[1:] for k in keys_]
         found = self.ids(["\n" + "\n".join(lines[i : i + LINES]) for i in range(0, len(lines), LINES)])
         ids = np.concatenate([*found, np.array([self.newline], self.kind)])
         ends = np.flatnonzero(ids == self.newline)
-        if len(ends) != len(keys_) + 1:
-            raise ValueError("the tokenizer joins tokens across line ends")
-        return ids, ends[:-1] + ~starts, np.diff(ends) - ~starts
+        return (ids, ends[:-1] + ~starts, np.diff(ends) - ~starts) if len(ends) == len(keys_) + 1 else None
+
+    def alone(self, keys_: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, count) of any keys, each encoded on its own."""
+        parts = [unpack(k) for k in keys_]
+        made = iter(self.ids([p for x in parts for p in x]))
+        each = [np.concatenate([next(made) for _ in x]) for x in parts]
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        return np.concatenate(each), np.cumsum(sizes) - sizes, sizes
 
     def learn(self, keys_: list[str]) -> None:
         """Keep the ids of keys that are not kept yet."""
-        plain = [k for k in keys_ if k and not k[-1].isspace() and (k[0] > " " or k[:2] == "\n\0" and len(k) > 2 or k[0] == "\0" and len(k) > 1 and not k[1].isspace())] if self.newline is not None else []
-        taken = set(plain) if len(plain) < len(keys_) else ()
-        other = [k for k in keys_ if k not in taken] if taken or not plain else []
-        groups = [(plain, *self.together(plain))] if plain else []
-        if other:
-            parts = [unpack(k) for k in other]
-            made = iter(self.ids([p for x in parts for p in x]))
-            each = [np.concatenate([next(made) for _ in x]) for x in parts]
-            sizes = np.fromiter(map(len, each), np.int64, len(each))
-            groups.append((other, np.concatenate(each), np.cumsum(sizes) - sizes, sizes))
+        words, heads, other = [], [], []
+        for k in keys_:
+            if k and k[0] > " " and not k[-1].isspace():
+                words.append(k)
+            elif self.newline is not None and k and not k[-1].isspace() and (k[:2] == "\n\0" and len(k) > 2 or k[0] == "\0" and len(k) > 1 and not k[1].isspace()):
+                heads.append(k)
+            else:
+                other.append(k)
+        groups = [(names, *(how(names) or self.alone(names))) for names, how in ((words, self.spaced), (heads, self.lined), (other, self.alone)) if names]
         for names, ids, first, count in groups:
             n, m = len(self.slots), len(self.slots) + len(names)
             self.blob = _grown(self.blob, self.used, len(ids))
