@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .chunks import keys, unpack
 
 LEAF = 4  # bytes that are merged directly
-REMEMBERED = 800_000  # pieces, in each Python worker
+REMEMBERED, LONGEST = 800_000, 64  # pieces in each Python worker, characters of one
 _codecs: dict[str, Codec] = {}
 
 
@@ -136,10 +136,11 @@ class Codec:
         except KeyError:
             if len(known) > self.remembered:
                 known.clear()
+            long: dict[str, tuple[int, ...]] = {}  # of this text alone: what is kept is bounded in bytes too
             for k in cut:
                 if k not in known:
-                    known[k] = tuple(t for p in unpack(k) for t in self.piece(p))
-            return list(chain.from_iterable(map(known.__getitem__, cut)))
+                    (known if len(k) <= LONGEST else long)[k] = tuple(t for p in unpack(k) for t in self.piece(p))
+            return list(chain.from_iterable([known[k] if k in known else long[k] for k in cut]))
 
     def decode(self, ids: list[int], block: int = 4096) -> bytes:
         """Bytes of the ids: blocks are concatenated, then neighbours pairwise up the tree."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,18 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+# How Spark and pyarrow name the same stores.
+SCHEMES = {"s3a://": "s3://", "s3n://": "s3://", "dbfs:/": "file:///dbfs/"}
+
+
+def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
+    """pyarrow's file system and path for a folder as Spark names it."""
+    for spark, arrow in SCHEMES.items():
+        if folder.startswith(spark):
+            folder = arrow + folder[len(spark) :].lstrip("/")
+    return pafs.FileSystem.from_uri(folder)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh, empty place below the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -6,7 +6,7 @@
 3. Groups that survive go into a bitmap of fixed size (1 << filter_bits bits at most, so its broadcast is bounded).
    Rows off the bitmap are unique: they are neither hashed in full nor shuffled.
 4. Rows on the bitmap are hashed in full (SHA-256), counted with map-side combining, and joined to their group's row.
-   A hot group meets only in the combined counts; the join back is an equi-join that AQE may split.
+   A hot group meets only in the combined counts; these are written first, so that AQE can split the join back.
 A full bitmap (more repeated groups than bits) costs speed only: rows then pass to step 4 needlessly.
 """
 
@@ -43,6 +43,8 @@ def exact_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", pre
     hit = F.expr("coalesce(shiftright(__bits, cast(__slot & 63 as int)) & 1L, 0L) = 1L")
     plain = rows.where(~hit).select(*docs.columns, F.col(key).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     left = rows.where(hit).withColumn("__full", F.sha2(body, 256)).select(*docs.columns, "__full")
-    totals = left.groupBy("__full").agg(F.max(key).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    chosen = left.join(totals, "__full").select(*docs.columns, "keep_id", "group_size", F.col(key).eqNullSafe(F.col("keep_id")).alias("kept"))
+    totals = left.groupBy("__full").agg(F.max(key).alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    totals = settle(totals.withColumn("__again", F.lit(True)), "dedup-totals")  # written, so that AQE finds plain shuffles on both sides
+    chosen = left.join(totals, "__full", "left").select(*docs.columns, F.when(F.col("__again"), F.col("keep_id")).otherwise(F.col(key)).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"))
+    chosen = chosen.withColumn("kept", F.col(key).eqNullSafe(F.col("keep_id")))
     return plain.unionByName(chosen)

@@ -20,8 +20,8 @@ TEMPER, KEEP = 0.8, 0.9  # of the mixture: power of the observed shares, share o
 
 
 def own_columns(df: DataFrame) -> DataFrame:
-    """The columns of documents; other ones, if the input has any, are not passed on."""
-    return df.select(*COLUMNS)
+    """The columns of documents that the input has; other ones are not passed on."""
+    return df.select(*[c for c in COLUMNS if c in df.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     decided = near_duplicates(docs).where(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     docs = own_columns(docs)
-    return docs.where("doc_id is null").unionByName(docs.join(decided, "doc_id", "left_semi").select(*COLUMNS))
+    return docs.where("doc_id is null").unionByName(own_columns(docs.join(decided, "doc_id", "left_semi")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +51,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang and the token ids of each document."""
-    rows = encode_documents(own_columns(docs).select("doc_id", "source", "lang", "text"), path=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern=public_tokenizers.PATTERN, remembered=REMEMBERED)
-    return rows.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """doc_id, source, lang, the token ids of each document, and the hash of the bytes that they decode to."""
+    rows = encode_documents(own_columns(docs).select("doc_id", "source", "lang", "text"), path=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern=public_tokenizers.PATTERN, decoded="__bytes", remembered=REMEMBERED)
+    return rows.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("__bytes", 256).alias("decoded_sha256"))
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("minhash", drop_near_copies), ("mixing", mix_sources), ("bpe", encode)]

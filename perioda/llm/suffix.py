@@ -26,7 +26,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, settle
+from .common import file_system, new_folder, settle
 from .exact_dedup import repeated_words
 from .minhash import _mix, _power_tables
 
@@ -78,7 +78,7 @@ def segments(data: bytes) -> Iterator[tuple[int, np.ndarray]]:
 @lru_cache(maxsize=2)
 def _bitmap(path: str, bits: int) -> np.ndarray:
     """Bitmap written as rows (word, bits), as an array of words."""
-    fs, base = pafs.FileSystem.from_uri(path)
+    fs, base = file_system(path)
     words = np.zeros(1 << (bits - 6), dtype=np.int64)
     for f in fs.get_file_info(pafs.FileSelector(base)):
         if f.path.endswith(".parquet"):
@@ -90,7 +90,7 @@ def _bitmap(path: str, bits: int) -> np.ndarray:
 
 @lru_cache(maxsize=2)
 def _values(path: str) -> np.ndarray:
-    fs, base = pafs.FileSystem.from_uri(path)
+    fs, base = file_system(path)
     out = [np.zeros(0, dtype=np.int64)]
     for f in fs.get_file_info(pafs.FileSelector(base)):
         if f.path.endswith(".parquet"):

@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .chunks import MEET_RE2, unpack
-from .common import new_folder, remove_folder, settle, with_blocks
+from .common import file_system, new_folder, remove_folder, settle, with_blocks
 
 WINDOW, MEAN_BITS, LEAST, MOST = 16, 9, 64, 4096  # ids: of the rolling hash, log2 of the mean chunk, bounds of a chunk
 ROWS_PER_BLOCK = 2048
@@ -232,7 +232,7 @@ def merkle(leaves: list[bytes]) -> bytes:
 
 
 def put(folder: str, name: str, data: bytes) -> None:
-    fs, base = pafs.FileSystem.from_uri(folder)
+    fs, base = file_system(folder)
     fs.create_dir(base, recursive=True)
     temp = f"{base}/.{name}.{uuid.uuid4().hex}"
     with fs.open_output_stream(temp, compression=None) as out:
@@ -241,18 +241,18 @@ def put(folder: str, name: str, data: bytes) -> None:
 
 
 def get(folder: str, name: str) -> bytes:
-    fs, base = pafs.FileSystem.from_uri(folder)
+    fs, base = file_system(folder)
     with fs.open_input_stream(f"{base}/{name}", compression=None) as f:
         return f.read()
 
 
 def exists(folder: str, name: str) -> bool:
-    fs, base = pafs.FileSystem.from_uri(folder)
+    fs, base = file_system(folder)
     return fs.get_file_info(f"{base}/{name}").type == pafs.FileType.File
 
 
 def remove(folder: str, name: str) -> None:
-    fs, base = pafs.FileSystem.from_uri(folder)
+    fs, base = file_system(folder)
     fs.delete_file(f"{base}/{name}")
 
 
@@ -375,7 +375,7 @@ class Pack:
     """Index of a pack, searched as it lies; a chunk is read by decompressing its segment (chunks never cross segments)."""
 
     def __init__(self, folder: str, block: int) -> None:
-        fs, base = pafs.FileSystem.from_uri(folder)
+        fs, base = file_system(folder)
         self.file = fs.open_input_file(f"{base}/{pack_name(block, 'pack')}")
         size = len(MAGIC) + 17
         head = self.file.read_at(size, 0)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, remove_folder, settle
+from .common import file_system, new_folder, remove_folder, settle
 
 # Fixed values of the formats: field names that an ARC file's second header line declares, by version.
 ARC_FIELDS = {
@@ -44,7 +44,7 @@ def base32_sha1(data: bytes) -> str:
 
 
 def _open(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder)
+    return file_system(folder)
 
 
 class Archive:
@@ -178,6 +178,7 @@ def choose_responses(manifest: DataFrame, *, min_bytes: int = 0) -> DataFrame:
     """
     own = manifest.where(F.col("payload_bytes") >= min_bytes)
     tops = own.groupBy("payload_digest").agg(F.max("page_id").alias("__top"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    tops = settle(tops, "warc-tops")  # written, so that AQE can split the join of a payload that very many pages share
     refers = F.when((F.col("payload_bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("__top")), F.col("__top"))
     return manifest.join(tops, "payload_digest", "left").withColumn("refers_to", refers).drop("__top")
 

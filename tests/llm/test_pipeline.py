@@ -20,7 +20,18 @@ def test_stages(spark, tmp_path):
             assert {r[0] for r in docs.select("doc_id").collect()} == {r[0] for r in want.collect()}
         if name != "bpe":
             assert docs.columns == columns
-    assert docs.columns == ["doc_id", "source", "lang", "n_tokens", "ids"]
+    assert docs.columns == ["doc_id", "source", "lang", "n_tokens", "ids", "decoded_sha256"]
+    assert before.join(docs, "doc_id").where("sha2(coalesce(text, ''), 256) <> decoded_sha256").count() == 0
+
+
+def test_toxic_documents_go(spark):
+    """The toxicity stage drops most of the labelled toxic documents and keeps the clean ones."""
+    data = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    left = corpus_pipeline.STAGES[0][1](spark, docs, data).select("doc_id", F.lit(1).alias("left"))
+    seen = docs.join(labels, "doc_id").join(left, "doc_id", "left").groupBy("toxic").agg(F.avg(F.coalesce("left", F.lit(0))).alias("kept"))
+    kept = {r["toxic"]: r["kept"] for r in seen.collect()}
+    assert kept[1] < 0.4 and kept[0] > 0.98
 
 
 def test_empty_and_odd_columns(spark, tmp_path):
