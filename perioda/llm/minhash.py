@@ -29,7 +29,7 @@ from .exact_dedup import repeated_words
 BANDS, ROWS = 25, 5
 BINS = 128
 
-HUBS = (1, 3, 3)  # of a bucket, round by round
+HUBS = (1, 3)  # of a bucket, round by round; the prefix join finds all that is left
 RARITY_BITS = 20  # slots of the shingle counts that order prefixes
 FILTER_BITS = 22
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
