@@ -122,6 +122,49 @@ class TsFrame:
             raise ValueError("the range is reversed")
         return self.project(a, b)
 
+    def __getitem__(self, key) -> TsFrame:
+        """x[[y, p]] one period, x[[[y, p], [y, p]]] a range of them, x[i] and x[i:j] positions, x["2000/2001"] or a date, x[mask] where a mask is true."""
+        if isinstance(key, TsFrame):
+            held = key.df.where(F.col(V)).select(S, T)
+            return self.keep(self.df.join(held, [S, T], "left_semi"))
+        if isinstance(key, (str, dt.date)):
+            return self.dates(key)
+        if isinstance(key, slice):
+            if key.step not in (None, 1):
+                raise ValueError("positions follow each other")
+            return self.position(key.start or 0, key.stop)
+        if isinstance(key, int) and not isinstance(key, bool):
+            return self.position(key, key + 1 if key != -1 else None)
+        pairs = [key] if len(key) == 2 and all(isinstance(k, int) for k in key) else list(key)
+        if len(pairs) not in (1, 2) or any(len(k) != 2 for k in pairs):
+            raise ValueError("a year and period, or the first and last of a range, are needed")
+        return self.project(tuple(pairs[0]), tuple(pairs[-1]))
+
+    # ---- single observations
+
+    def at_period(self, year: int, period: int = 1) -> DataFrame:
+        """(series, value) at a period; a series that doesn't reach it is an error at run time."""
+        at = self.ordinal((year, period))
+        found = self.df.groupBy(F.col(S).alias("series")).agg(F.min(T).alias("a"), F.max(T).alias("b"), F.max(F.when(F.col(T) == at, F.col(V))).alias(V))
+        inside = F.expr(f"if({at}L < a or {at}L > b, raise_error(concat('series ', series, ' does not reach the period')), true)")
+        return found.where(inside).select("series", V)
+
+    def at_date(self, day: dt.date) -> DataFrame:
+        """(series, value) of the period that a date lies in."""
+        return self.at_period(*periods.date_to_year_period(day, self.freq))
+
+    def between_dates(self, first: dt.date, last: dt.date) -> TsFrame:
+        """The periods from the one that holds `first` to the one that holds `last`."""
+        return self.project(*(tuple(periods.date_to_year_period(d, self.freq)) for d in (first, last)))
+
+    def period_at(self, position: int) -> DataFrame:
+        """(series, t, year, period) of the observation at a position (negative from the end); one outside is an error at run time."""
+        ends = self.df.groupBy(F.col(S).alias("series")).agg(F.min(T).alias("a"), F.max(T).alias("b"))
+        t = F.col("a") + position if position >= 0 else F.col("b") + (position + 1)
+        inside = F.expr("if(t < a or t > b, raise_error(concat('position outside series ', series)), true)")
+        found = ends.withColumn("t", t).where(inside)
+        return found.select("series", "t", periods.year_of(F.col("t"), self.freq).alias("year"), periods.period_of(F.col("t"), self.freq).alias("period"))
+
     def _date_end(self, text: str, last: bool) -> int:
         parts = [int(x) for x in text.split("-")]
         y, m = parts[0], parts[1] if len(parts) > 1 else 12 if last else 1
@@ -144,6 +187,39 @@ class TsFrame:
         df = df.select(S, T, F.when(F.col("__there"), F.col("__new")).otherwise(F.col(V)).alias(V))
         return self.keep(densify(df) if extend else df)
 
+    def with_items(self, items: dict[Yp, float | None], series: str | None = None) -> TsFrame:
+        """The values at the given periods replaced; the series reach out to them, gaps missing."""
+        if not items:
+            return self
+        given = {self.ordinal(k): None if v is None or v != v else float(v) for k, v in items.items()}
+        new = self.df.sparkSession.createDataFrame(list(given.items()), f"{T} long, __new double").withColumn("__there", F.lit(True))
+        names = self.df.select(S).distinct() if series is None else self.df.select(S).where(F.col(S) == series).distinct()
+        df = self.df.join(names.join(F.broadcast(new)), [S, T], "full")
+        return self.keep(densify(df.select(S, T, F.when(F.col("__there"), F.col("__new")).otherwise(F.col(V)).alias(V))))
+
+    def assign_range(self, start: Yp, end: Yp, values: float | dict[str, float | list[float | None]]) -> TsFrame:
+        """A range of every series (a number) or of the named ones (a dict) replaced, where it lies within them. Unknown names are an error at run time."""
+        a, b = self.ordinal(start), self.ordinal(end)
+        if a > b:
+            raise ValueError("the range is reversed")
+        if not isinstance(values, dict):
+            return self.keep(self.df.withColumn(V, F.when(F.col(T).between(a, b), F.lit(float(values))).otherwise(F.col(V))))
+        rows = []
+        for name, v in values.items():
+            each = list(v) if isinstance(v, (list, tuple)) else [v] * (b - a + 1)
+            if len(each) != b - a + 1:
+                raise ValueError(f"{name}: as many values as periods are needed")
+            rows += [(name, a + i, None if x is None or x != x else float(x)) for i, x in enumerate(each)]
+        new = self.df.sparkSession.createDataFrame(rows, f"{S} string, {T} long, __new double")
+        unknown = new.select(S).distinct().join(self.df.select(S).distinct(), S, "left_anti").agg(F.min(S).alias("__unknown"))
+        df = self.df.join(F.broadcast(new.withColumn("__there", F.lit(True))), [S, T], "left").join(F.broadcast(unknown))
+        df = df.where(F.expr("if(__unknown is not null, raise_error(concat('no series ', __unknown)), true)"))
+        return self.keep(df.withColumn(V, F.when(F.col("__there"), F.col("__new")).otherwise(F.col(V))))
+
+    def with_series(self, other: TsFrame) -> TsFrame:
+        """The other's series added; they replace those of the same name."""
+        return self.combine(other, replace=True)
+
     def range(self, kind: str = "outer") -> tuple[Yp, Yp] | None:
         """Inclusive range that all series share (inner; None if none) or that any has (outer)."""
         ends = self.df.groupBy(S).agg(F.min(T).alias("a"), F.max(T).alias("b"))
@@ -332,7 +408,7 @@ class TsFrame:
         facts = df.groupBy(S).agg(F.min(T).alias("lo"), F.max(T).alias("hi"), F.first("__a").alias("a"), F.first("__b").alias("b"), *[edge(k, s) for s in "ab" for k in range(n)])
         low = F.least(F.col("lo"), F.lit(self.ordinal(back_to)).cast("long")) if back_to else F.col("lo")
         high = F.greatest(F.col("hi"), F.lit(self.ordinal(up_to)).cast("long")) if up_to else F.col("hi")
-        facts = facts.withColumns({"new_lo": low, "new_hi": high})
+        facts = facts.withColumns({"new_lo": low, "new_hi": high, **self._rates(mode)})  # rates once a series, not once a period
         grid = facts.withColumn(T, F.explode(F.sequence("new_lo", "new_hi"))).join(self.df, [S, T], "left")
         value = F.col(V)
         if mode == "zero":
@@ -343,6 +419,18 @@ class TsFrame:
             value = F.when(before, self._edge_value(mode, "a", F.col("a") - F.col(T), factor)).when(after, self._edge_value(mode, "b", F.col(T) - F.col("b"), factor)).otherwise(value)
         return self.drop_meta(grid.withColumn(V, value))
 
+    @staticmethod
+    def _rates(mode: str) -> dict[str, Column]:
+        """Growth a period at each edge, as columns of the one row a series."""
+        out = {}
+        for side in "ab":
+            e = [F.col(f"{side}{k}") for k in range(TsFrame.EDGE)]
+            if mode == "growth":
+                out[f"rate_{side}"] = ieee.div(e[0], e[1])
+            elif mode == "growth4":
+                out[f"rate_{side}"] = ieee.power(ieee.div(e[0] + e[1] + e[2] + e[3], e[4] + e[5] + e[6] + e[7]), F.lit(0.25))
+        return out
+
     @staticmethod
     def _edge_value(mode: str, side: str, d: Column, factor: float | None) -> Column:
         e = [F.col(f"{side}{k}") for k in range(TsFrame.EDGE)]
@@ -355,11 +443,8 @@ class TsFrame:
             return ieee.mul(e[0], ieee.power(F.lit(float(factor)), d))
         if mode == "mean4":
             return (e[0] + e[1] + e[2] + e[3]) / 4
-        if mode == "growth":
-            return ieee.mul(e[0], ieee.power(ieee.div(e[0], e[1]), d))
-        if mode == "growth4":
-            near, far = e[0] + e[1] + e[2] + e[3], e[4] + e[5] + e[6] + e[7]
-            return ieee.mul(e[0], ieee.power(ieee.power(ieee.div(near, far), F.lit(0.25)), d))
+        if mode in ("growth", "growth4"):
+            return ieee.mul(e[0], ieee.power(F.col(f"rate_{side}"), d))
         if mode == "linear":
             return e[0] + d * (e[0] - e[1])
         second, slope = (e[0] - 2 * e[1] + e[2]) / 2, (3 * e[0] - 4 * e[1] + e[2]) / 2
@@ -414,7 +499,12 @@ class TsFrame:
         if name is None:
             df = self.df.join(right, [S, T])
         else:
-            df = self.df.drop(S).join(right.drop(S), T).withColumn(S, F.lit(name))
+            ends = lambda d, k: d.agg(F.min(T).alias(f"a{k}"), F.max(T).alias(f"b{k}"), (F.min(S) < F.max(S)).alias(f"m{k}"))  # noqa: E731  one row
+            guard = ends(self.df, 1).join(ends(other.df, 2))
+            fits = F.expr("""if(coalesce(m1, false) or coalesce(m2, false), raise_error('operands of a named result are single series'),
+                if(greatest(a1, a2) > least(b1, b2), raise_error('the series have no period in common'), true))""")
+            checked = guard.where(fits).select(F.lit(True).alias("__fits"))
+            df = self.df.drop(S).join(right.drop(S), T).join(F.broadcast(checked), F.lit(True), "right").where(F.col(T).isNotNull()).withColumn(S, F.lit(name))
         return self.drop_meta(df.withColumn(V, function(F.col(V), F.col("__right"))))
 
     def combine_values(self, other: TsFrame, function: Callable[[Column, Column], Column], name: str = "result") -> TsFrame:

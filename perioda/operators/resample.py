@@ -32,7 +32,7 @@ def convert(x: TsFrame, freq: int | str, method: str | None = None) -> TsFrame:
 
 
 def aggregate(x: TsFrame, f: int, method: str | None) -> TsFrame:
-    """Complete target periods only; stock and nstock need a period's last slot alone."""
+    """Complete target periods only; stock and nstock need a period's last slot alone. A series without any is an error at run time."""
     method = {"ave": "average", "nave": "naverage"}.get((method or "").lower(), (method or "").lower())
     if method not in ("sum", "nsum", "average", "naverage", "stock", "nstock"):
         raise ValueError("aggregation needs a method: sum, nsum, average, naverage, stock or nstock")
@@ -54,7 +54,9 @@ def aggregate(x: TsFrame, f: int, method: str | None) -> TsFrame:
         "nstock": F.max_by(V, F.when(F.col(V).isNotNull(), t)),
     }[method]
     whole = F.bool_or("__end") if method in ("stock", "nstock") else F.count(F.lit(1)) == F.max("__n")
-    made = df.groupBy(S, "__t2").agg(value.alias(V), whole.alias("__whole")).where("__whole")
+    made = df.groupBy(S, "__t2").agg(value.alias(V), whole.alias("__whole"))
+    some = F.bool_or("__whole").over(W.partitionBy(S))  # over a series' target periods: few rows
+    made = made.withColumn("__some", some).where(F.expr("if(not __some, raise_error(concat('series ', __series, ' has no complete period')), __whole)"))
     return TsFrame(made.select(S, F.col("__t2").alias(T), V), f, x.meta)
 
 

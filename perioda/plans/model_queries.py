@@ -173,7 +173,11 @@ EQ> y = a + b*x
 COEFF> a b
 PDL> b 1 2
 END"""
-ask("mdl_pdl", lambda w: ms.estimate_frame(sampled(w), LAGGED, 12, G).select("series", "coefficient", "estimate"))
+_det = "(var_pop(x) * var_pop(p) - covar_pop(x, p) * covar_pop(x, p))"
+ask("mdl_pdl", lambda w: ms.estimate_frame(sampled(w), LAGGED, 12, G).select("series", "coefficient", "estimate"),
+    f"""{_data}, u AS (SELECT * FROM (SELECT *, lag(x) OVER (PARTITION BY series ORDER BY t) AS p FROM q) WHERE p IS NOT NULL),
+    f AS (SELECT series, avg(y) AS my, avg(x) AS mx, avg(p) AS mp, (covar_pop(x, y) * var_pop(p) - covar_pop(p, y) * covar_pop(x, p)) / {_det} AS b0, (covar_pop(p, y) * var_pop(x) - covar_pop(x, y) * covar_pop(x, p)) / {_det} AS b1 FROM u GROUP BY series)
+    SELECT series, c AS coefficient, round(CASE c WHEN 'a' THEN my - b0 * mx - b1 * mp WHEN 'b__PDL__0' THEN b0 ELSE b1 END, 4) AS estimate FROM f, (SELECT unnest(['a', 'b__PDL__0', 'b__PDL__1']) AS c)""")
 AUTO = """MODEL
 BEHAVIORAL> y
 EQ> y = a + b*x
@@ -211,4 +215,8 @@ def _rng(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "stream string, i int, value double")
 
 
-QUERIES["rng_streams"] = _rng
+QUERIES["rng_streams"] = lambda spark, sf: _rng(spark, sf).withColumn("value", F.round("value", 6))
+# The first ten draws that R documents for set.seed(123); rnorm(10) and set.seed(1); runif(10).
+_NORMAL = (-0.560476, -0.230177, 1.558708, 0.070508, 0.129288, 1.715065, 0.460916, -1.265061, -0.686853, -0.445662)
+_UNIFORM = (0.265509, 0.372124, 0.572853, 0.908208, 0.201682, 0.898390, 0.944675, 0.660798, 0.629114, 0.061786)
+ORACLE["rng_streams"] = "SELECT * FROM (VALUES " + ", ".join(f"('{n}', CAST({i} AS INT), CAST({v} AS DOUBLE))" for n, vs in (("normal", _NORMAL), ("uniform", _UNIFORM)) for i, v in enumerate(vs)) + ") AS d(stream, i, value)"

@@ -6,6 +6,7 @@ taken in decimals, so they don't depend on the order of rows.
 
 from __future__ import annotations
 
+import datetime as dt
 import tempfile
 from collections.abc import Callable
 
@@ -152,6 +153,15 @@ def late(x: TsFrame) -> TsFrame:
 
 ask("ts_trim", "om", lambda x: late(x).trim(), rows_sql("value", f"(SELECT *, min(CASE WHEN value IS NOT NULL THEN t END) OVER (PARTITION BY series) AS a, max(CASE WHEN value IS NOT NULL THEN t END) OVER (PARTITION BY series) AS b FROM {EDGES})", "WHERE t BETWEEN a AND b"))
 ask("ts_trim_leading_value", "om", lambda x: late(x).keep(late(x).df.fillna({V: 0.0})).trim(0.0, trailing=False), rows_sql("value", f"(SELECT *, min(CASE WHEN value <> 0 THEN t END) OVER (PARTITION BY series) AS a FROM (SELECT series, t, coalesce(value, 0) AS value FROM {EDGES}))", "WHERE t >= a"))
+ask("ts_at_period", "om", lambda x: x.at_period(1997, 5), f"SELECT series, round(value, 4) AS value FROM om WHERE t = {1997 * 12 + 4}")
+ask("ts_at_date", "om", lambda x: x.at_date(dt.date(1998, 7, 9)), f"SELECT series, round(value, 4) AS value FROM om WHERE t = {1998 * 12 + 6}")
+ask("ts_between_dates", "om", lambda x: x.between_dates(dt.date(1997, 2, 28), dt.date(1998, 1, 1)), rows_sql("value", where=f"WHERE t BETWEEN {1997 * 12 + 1} AND {1998 * 12}"))
+ask("ts_period_at", "om", lambda x: x.period_at(-2), "SELECT series, t, CAST(t // 12 AS INT) AS year, CAST(t % 12 + 1 AS INT) AS period FROM (SELECT series, max(t) - 1 AS t FROM om GROUP BY 1)")
+ask("ts_getitem_range", "om", lambda x: x[[[1996, 3], [1996, 8]]], rows_sql("value", where=f"WHERE t BETWEEN {1996 * 12 + 2} AND {1996 * 12 + 7}"))
+ask("ts_getitem_mask", "om", lambda x: x[x > 1e6], rows_sql("value", where="WHERE value > 1e6"))
+ask("ts_with_items", "om", lambda x: x.with_items({(1997, 1): 1.0, (1997, 6): None}), rows_sql(f"CASE t WHEN {1997 * 12} THEN 1.0 WHEN {1997 * 12 + 5} THEN NULL ELSE value END"))
+ask("ts_assign_range_named", "om", lambda x: x.assign_range((1996, 1), (1996, 3), {"1-URGENT": 7.0, "5-LOW": [1.0, None, 3.0]}), rows_sql(f"CASE WHEN series = '1-URGENT' AND t BETWEEN {1996 * 12} AND {1996 * 12 + 2} THEN 7.0 WHEN series = '5-LOW' AND t BETWEEN {1996 * 12} AND {1996 * 12 + 2} THEN CASE t WHEN {1996 * 12} THEN 1.0 WHEN {1996 * 12 + 2} THEN 3.0 END ELSE value END"))
+ask("ts_with_series", ("om", "lm"), lambda a, b: a.with_series(b.rename({"N": "1-URGENT"})), "SELECT series, t, round(value, 4) AS value FROM (SELECT * FROM om WHERE series <> '1-URGENT' UNION ALL SELECT CASE series WHEN 'N' THEN '1-URGENT' ELSE series END, t, value FROM lm)")
 ask("ts_with_values", "om", lambda x: x.with_values((1996, 1), [1.0, 2.0, None]), rows_sql(f"CASE t WHEN {1996 * 12} THEN 1.0 WHEN {1996 * 12 + 1} THEN 2.0 WHEN {1996 * 12 + 2} THEN NULL ELSE value END"))
 ask("ts_assign_range", "om", lambda x: x.with_values((1996, 1), 7.0, (1996, 12), series=PRIORITY), rows_sql(f"CASE WHEN series = '1-URGENT' AND t BETWEEN {1996 * 12} AND {1996 * 12 + 11} THEN 7.0 ELSE value END"))
 ask("ts_select_rename", "om", lambda x: x.select("1-URGENT", "5-LOW").rename({"5-LOW": "low"}), rows_sql("value", "(SELECT CASE series WHEN '5-LOW' THEN 'low' ELSE series END AS series, t, value FROM om WHERE series IN ('1-URGENT', '5-LOW'))"))

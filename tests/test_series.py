@@ -265,7 +265,37 @@ def test_streaming_ingest(spark, tmp_path):
 
     src = str(tmp_path / "in")
     spark.createDataFrame([(dt.datetime(2024, 1, d, 5), "a", float(d)) for d in range(1, 6)], "ts timestamp, k string, v double").write.parquet(src)
-    q = ingest.start(spark.readStream.schema("ts timestamp, k string, v double").parquet(src), str(tmp_path / "out"), str(tmp_path / "cp"), time="ts", series="k", value="v", freq=366)
+    q = ingest.start(spark.readStream.schema("ts timestamp, k string, v double").parquet(src), str(tmp_path / "out"), str(tmp_path / "cp"), time="ts", series="k", value="v")
     q.awaitTermination(60)
     rows = {r["__t"] % 366 + 1: r["value"] for r in ingest.latest(spark, str(tmp_path / "out")).collect()}
     assert rows.items() <= {d: float(d) for d in range(1, 6)}.items()
+
+
+def test_streaming_months_add_up_over_batches(spark, tmp_path):
+    from perioda.streaming import ingest
+
+    src, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    schema = "ts timestamp, k string, v double"
+    for lo, hi in ((1, 11), (11, 21), (21, 32)):
+        spark.createDataFrame([(dt.datetime(2024, 1, d, 5), "a", float(d)) for d in range(lo, hi)] + ([(dt.datetime(2024, 2, 9), "a", 1.0)] if hi == 32 else []), schema).write.mode("append").parquet(src)
+        ingest.start(spark.readStream.schema(schema).parquet(src), out, cp, time="ts", series="k", value="v").awaitTermination(60)
+    rows = {(r["__t"] // 12, r["__t"] % 12 + 1): r["value"] for r in ingest.latest(spark, out, 12).collect()}
+    assert rows[2024, 1] == sum(range(1, 32))
+
+
+def test_lookups_and_errors(spark):
+    x = TsFrame.of(spark, [1.0, None, 3.0, 4.0, 5.0], (2000, 1), 4, "x")
+    assert x.at_period(2000, 3).first()["value"] == 3.0 and x.at_date(dt.date(2000, 11, 5)).first()["value"] == 4.0
+    assert tuple(x.period_at(-1).first())[2:] == (2001, 1)
+    assert x.between_dates(dt.date(2000, 5, 1), dt.date(2000, 9, 9)).values() == [None, 3.0]
+    assert x[[2000, 3]].values() == [3.0] and x[[[2000, 3], [2000, 4]]].values() == [3.0, 4.0] and x[-1].values() == [5.0] and x[1:3].values() == [None, 3.0]
+    assert x["2001"].values() == [5.0] and x[x > 3.5].values() == [4.0, 5.0]
+    assert x.with_items({(2001, 3): 9.0, (2000, 2): 2.0}).values() == [1.0, 2.0, 3.0, 4.0, 5.0, None, 9.0]
+    assert x.assign_range((2000, 1), (2000, 2), {"x": [7.0, 8.0]}).values() == [7.0, 8.0, 3.0, 4.0, 5.0]
+    assert sorted(r["series"] for r in x.with_series(x.rename({"x": "y"})).rows().collect()) == ["x"] * 5 + ["y"] * 5
+    far = TsFrame.of(spark, [1.0], (2010, 1), 4, "y")
+    two = x.combine(x.rename({"x": "z"}))
+    for wrong in (lambda: x.at_period(1999, 4).collect(), lambda: x.period_at(5).collect(), lambda: x.assign_range((2000, 1), (2000, 1), {"no": 1.0}).values(),
+                  lambda: x.combine_values(far, lambda a, b: a + b).values(), lambda: two.combine_values(x, lambda a, b: a + b).values(), lambda: convert(far, 1, "sum").values()):
+        with pytest.raises(Exception):
+            wrong()
