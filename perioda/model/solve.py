@@ -254,6 +254,98 @@ class Options:
     retain: bool = False  # keep the last iteration, with a warning, where a system has not converged
 
 
+DENSE = 400  # unknowns up to which one dense matrix is as fast
+
+
+def dense(n: int, rows: np.ndarray, columns: np.ndarray, values: np.ndarray) -> np.ndarray:
+    J = np.zeros((n, n))
+    J[rows, columns] = values
+    return J
+
+
+class Banded:
+    """Jacobian of a system stacked by periods: blocks of a period's equations by a period's unknowns, near the diagonal only.
+
+    Factored by eliminating period after period with pivots inside a period's block, so memory and work grow with the number of periods,
+    not its square and cube. Solutions are refined once; where a block is singular, or what is left over is too large, the
+    dense matrix is solved instead.
+    """
+
+    def __init__(self, at: np.ndarray, rows: np.ndarray, columns: np.ndarray, values: np.ndarray) -> None:
+        if (np.diff(at) < 0).any():
+            raise ValueError("unknowns are stacked by periods")
+        self.entries, self.n = (rows, columns, values), len(at)
+        _, first, block = np.unique(at, return_index=True, return_inverse=True)
+        self.ends = [*first.tolist(), len(at)]
+        self.blocks: dict[tuple[int, int], np.ndarray] = {}
+        bi, bj = block[rows], block[columns]
+        pairs, which = np.unique(np.stack([bi, bj], 1), axis=0, return_inverse=True) if len(rows) else (np.zeros((0, 2), int), np.zeros(0, int))
+        for k, (i, j) in enumerate(pairs.tolist()):
+            own = which.ravel() == k
+            m = self.blocks[i, j] = np.zeros((self.ends[i + 1] - self.ends[i], self.ends[j + 1] - self.ends[j]))
+            m[rows[own] - self.ends[i], columns[own] - self.ends[j]] = values[own]
+        self.factors: list | None = None
+
+    def times(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(x)
+        for (i, j), m in self.blocks.items():
+            out[self.ends[i] : self.ends[i + 1]] += m @ x[self.ends[j] : self.ends[j + 1]]
+        return out
+
+    def factor(self) -> list:
+        """Of each period: inverse of its pivot block, blocks to its right (premultiplied), blocks below."""
+        left = dict(self.blocks)
+        below: dict[int, list[int]] = {}
+        right: dict[int, set[int]] = {}
+        for i, j in left:
+            if i > j:
+                below.setdefault(j, []).append(i)
+            elif j > i:
+                right.setdefault(i, set()).add(j)
+        out = []
+        for t in range(len(self.ends) - 1):
+            if (t, t) not in left:
+                raise np.linalg.LinAlgError("empty block")
+            inverse = np.linalg.inv(left.pop((t, t)))
+            up = {j: inverse @ left.pop((t, j)) for j in sorted(right.get(t, ()))}
+            down = {i: left.pop((i, t)) for i in sorted(set(below.get(t, ())))}
+            for i, m in down.items():
+                for j, u in up.items():
+                    made = m @ u
+                    left[i, j] = left[i, j] - made if (i, j) in left else -made
+                    if j > i:
+                        right.setdefault(i, set()).add(j)
+                    elif i > j:
+                        below.setdefault(j, []).append(i)
+            out.append((inverse, up, down))
+        return out
+
+    def _once(self, b: np.ndarray) -> np.ndarray:
+        part = lambda x, t: x[self.ends[t] : self.ends[t + 1]]
+        y, x = b.copy(), np.empty_like(b)
+        for t, (inverse, _, down) in enumerate(self.factors):
+            part(y, t)[:] = inverse @ part(y, t)
+            for i, m in down.items():
+                part(y, i)[:] -= m @ part(y, t)
+        for t in range(len(self.factors) - 1, -1, -1):
+            part(x, t)[:] = part(y, t)
+            for j, u in self.factors[t][1].items():
+                part(x, t)[:] -= u @ part(x, j)
+        return x
+
+    def solve(self, b: np.ndarray) -> np.ndarray:
+        try:
+            if self.factors is None:
+                self.factors = self.factor()
+            x = self._once(b)
+            x = x + self._once(b - self.times(x))
+            if np.all(np.abs(b - self.times(x)) <= 1e-9 * (1 + np.abs(b).max(axis=0))):
+                return x
+        except np.linalg.LinAlgError:
+            pass
+        return np.linalg.solve(dense(self.n, *self.entries), b)
+
+
 class Solver:
     """Solves a compiled model on matrices; `jacobians` keeps those of a baseline for its replicas."""
 
@@ -416,7 +508,7 @@ class Solver:
                 J = jacobian(x, r) if jacobian else self.finite_differences(residual, x, r)
                 self.store[key] = J
             try:
-                change = np.linalg.solve(J, -r) * step
+                change = (J.solve(-r) if isinstance(J, Banded) else np.linalg.solve(J, -r)) * step
             except np.linalg.LinAlgError:
                 raise ConvergenceError(f"singular Jacobian of {what}") from None
             old, x = x, x + change
@@ -520,9 +612,11 @@ class Solver:
 
         span = self.m.max_lag + self.m.max_lead + 1
 
-        def jacobian(x: np.ndarray, r: np.ndarray) -> np.ndarray:
+        at = np.array([p for p, _ in unknowns])
+
+        def jacobian(x: np.ndarray, r: np.ndarray) -> np.ndarray | Banded:
             h = self.o.jacobian_step * np.maximum(np.abs(x[:, 0]), 1.0)
-            J, at = np.zeros((len(x), len(x))), np.array([p for p, _ in unknowns])
+            parts = []
             for n, k in place.items():
                 for c in range(span):
                     own = k[rows[n] % span == c]
@@ -532,14 +626,13 @@ class Solver:
                     moved[own] += h[own][:, None]
                     d = residual(moved)[:, 0] - r[:, 0]
                     hit = np.flatnonzero(d)
-                    near = np.abs(at[hit][:, None] - at[own][None, :]).argmin(axis=1) if len(hit) else np.zeros(0, dtype=int)
-                    # an equation at period p sees shocks from p - max_lag to p + max_lead
-                    for e, j in zip(hit, near):
-                        options = [o for o in own if -self.m.max_lag <= at[o] - at[e] <= self.m.max_lead]
-                        o = options[0] if options else own[j]
-                        J[e, o] = d[e] / h[o]
+                    # an equation at period p sees shocks from p - max_lag to p + max_lead: one of them, as they are span apart
+                    first = np.searchsorted(at[own], at[hit] - self.m.max_lag)
+                    seen = own[np.minimum(first, len(own) - 1)]
+                    parts.append((hit, seen, d[hit] / h[seen]))
             residual(x)
-            return J
+            e, o, v = (np.concatenate([q[i] for q in parts]) for i in range(3))
+            return Banded(at, e, o, v) if len(x) > DENSE else dense(len(x), e, o, v)
 
         return self.newton(("stacked", tuple(unknowns)), residual, self.stack(unknowns), "the forward-looking system", jacobian)
 

@@ -307,3 +307,19 @@ def test_model_methods_and_frames(spark):
     assert m.optimize(d, span, {"x": Bound(0, 1)}, [Timed("y")], replicas=20, seed=1).best is not None
     with pytest.raises(KeyError):
         m.bind(Data.of({"y": ((1999, 1), [1.0])}, 1))
+
+
+def test_banded_solver_equals_dense():
+    from perioda.model import solve
+
+    r = np.random.default_rng(1)
+    at = np.repeat(np.arange(12), [3, 5, 1, 4, 4, 4, 2, 5, 5, 3, 1, 6])
+    n = len(at)
+    near = (at[None, :] - at[:, None] <= 2) & (at[:, None] - at[None, :] <= 1)
+    rows, columns = np.nonzero(near & ((r.random((n, n)) < 0.7) | np.eye(n, dtype=bool)))
+    values, b = r.normal(size=len(rows)) - 6 * (rows == columns), r.normal(size=(n, 3))
+    assert np.allclose(solve.Banded(at, rows, columns, values).solve(b), np.linalg.solve(solve.dense(n, rows, columns, values), b))
+    two = np.array([0, 0]), np.array([0, 1]), np.array([1, 0]), np.array([2.0, 4.0])  # its pivot block is singular at first sight only
+    assert np.allclose(solve.Banded(*two).solve(np.ones((2, 1))), [[0.25], [0.5]])
+    swapped = np.array([0, 1]), np.array([0, 1]), np.array([1, 0]), np.array([2.0, 4.0])  # no pivots within periods: solved whole
+    assert np.allclose(solve.Banded(*swapped).solve(np.ones((2, 1))), [[0.25], [0.5]])
