@@ -33,10 +33,12 @@ FRAME = b" the quick frame of a window "
 MARK = b"\x01\x01\x01"  # before a word that stands for its class; with MATCH, a match needs the mark and three bytes
 MATCH = 6
 BASE_BYTES, MAX_PIECES = 6_000, 600
+SPECIAL_BYTES, LIKE_BYTES = 5_500, 3_000  # with the base under 16 KB: zstandard misses matches in larger ones at these settings
 STEMS = range(4, 10)
 EXTENSIONS, LIKE = 10, 2000
 EVIDENCE, LIFT, LEAST = 15.0, 15.0, 5  # of a piece: log-likelihood ratio, frequency ratio, toxic documents
-REMEMBERED, LONGEST_KEPT = 300_000, 64  # words, and bytes of one, that a worker keeps
+SLOT_BITS = 22
+REMEMBERED, LONGEST_KEPT = 200_000, 64  # words, and bytes of one, that a worker keeps
 WINDOW_LOG = 17  # of zstandard: the whole dictionary is within reach
 MOST_SAVED, MOST_NEEDED = 10, 8  # bytes from which classes are one
 PRIOR, SURE = 1.0, 30.0  # windows that stand for what isn't seen; log odds of certainty
@@ -48,16 +50,37 @@ def tokens(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def _frequencies(texts: list[str]) -> Counter:
-    """Documents for each word and each start of a word (a stem ends in '*')."""
+def _pieces(text: str, stems: bool) -> set[str]:
+    """Words of a text, and with stems each start of a word (a stem ends in '*')."""
+    own = set()
+    for w in set(tokens(text)):
+        w = w.strip(EDGES)
+        own.add(w)
+        if stems:
+            own.update([w[:k] + "*" for k in STEMS if len(w) > k])
+    return own
+
+
+def _frequencies(texts: list[str], least: int, stems: bool) -> Counter:
+    """Documents for each piece that stands in `least` of them or more. Slots of a table of fixed size are counted first, so that the many
+    rare pieces take no memory."""
+    slots = np.zeros(1 << SLOT_BITS, dtype=np.int32)
+    mask = len(slots) - 1
+    for t in texts:
+        own = _pieces(t, stems)
+        np.add.at(slots, np.fromiter([hash(w) & mask for w in own], np.int64, len(own)), 1)
+    often = (slots >= least).tobytes()
+    seen: Counter = Counter()
+    for t in texts:
+        seen.update([w for w in _pieces(t, stems) if often[hash(w) & mask]])
+    return Counter({w: n for w, n in seen.items() if n >= least})
+
+
+def _among(texts: list[str], pieces: Counter) -> Counter:
+    """Documents for each of the given pieces."""
     seen: Counter = Counter()
     for t in texts:
-        own = set()
-        for w in set(tokens(t)):
-            w = w.strip(EDGES)
-            own.add(w)
-            own.update(w[:k] + "*" for k in STEMS if len(w) > k)
-        seen.update(own)
+        seen.update(_pieces(t, True) & pieces.keys())
     return seen
 
 
@@ -109,10 +132,23 @@ def unlike(texts: list[str]) -> list[str]:
     return out
 
 
+def _marked(words: list[str], most: int) -> bytes:
+    """Words behind marks, the first of the list last; as many of the first ones as `most` bytes hold."""
+    out, size = [], 0
+    for w in words:
+        out.append(MARK + w.encode())
+        size += len(out[-1])
+        if size > most:
+            out.pop()
+            break
+    return b"".join(reversed(out))
+
+
 def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     """Contents of the two dictionaries, from documents of each class."""
     toxic, ordinary = unlike(toxic), unlike(ordinary)
-    t, o, n, m = _frequencies(toxic), _frequencies(ordinary), len(toxic), len(ordinary)
+    t, n, m = _frequencies(toxic, LEAST, True), len(toxic), len(ordinary)
+    o, common_words = _among(ordinary, t), _frequencies(ordinary, LEAST, False)
     found = [(_evidence(x, n, o[w], m), w) for w, x in t.items() if x >= LEAST and x / n >= LIFT * o[w] / m]
     found = sorted(((e, w) for e, w in found if e >= EVIDENCE), key=lambda x: (-round(math.log(x[0]) * 10), -len(x[1]), x[1]))
     pieces: list[str] = []
@@ -121,10 +157,10 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
         if len(pieces) < MAX_PIECES and not any(stem.startswith(p) or p.startswith(stem) for p in pieces):
             pieces.append(stem)
     longer = [w for p in pieces for w in sorted((w for w in t if w.startswith(p) and w[-1] != "*"), key=lambda w: (-t[w], w))[:EXTENSIONS]] if pieces else []
-    special = b"".join(MARK + w.encode() for w in reversed(list(dict.fromkeys(pieces + longer))))
+    special = _marked(list(dict.fromkeys(pieces + longer)), SPECIAL_BYTES)
     near = {p[:3] for p in pieces}
-    words = [w for w, _ in o.most_common(60_000) if w[-1:] != "*" and w]
-    like = [w for w in words if w[:3] in near][:LIKE]
+    words = [w for w, _ in sorted(common_words.items(), key=lambda x: (-x[1], x[0]))[:60_000] if w]
+    like = [w for w in words if w[:3] in near and not w.startswith(tuple(pieces))][:LIKE]
     words = [w.encode() for w in words[:20_000]]
     base, rest, size = [], [], 0
     for w in words:
@@ -132,7 +168,7 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
         size += len(w) + 1
     filler = (b" ".join(rest) + b" " * len(special))[: len(special)]
     common = b" ".join(reversed(base))
-    both = b"".join(MARK + w.encode() for w in like)  # ordinary words that begin like a toxic piece: the ordinary dictionary knows them too
+    both = _marked(like, LIKE_BYTES)  # ordinary words that begin like a toxic piece: the ordinary dictionary knows them too
     return common + b" " * (len(both) + 1) + b" " + special + FRAME, common + b" " + filler + b" " + both + b" " + FRAME
 
 
@@ -194,7 +230,7 @@ def fit_model(texts: list[str], toxic: list[int], sizes: dict[int, int] | None =
     return pickle.dumps((first, second, *calibrate(Distance(first, second), [t for t, c in zip(texts, third) if c], held, (stands[0], stands[1]))))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)  # each keeps its words
 def _loaded(model: bytes) -> tuple[Distance, dict[tuple[int, int], float], tuple[float, float]]:
     first, second, found, line = pickle.loads(model)
     return Distance(first or FRAME, second or FRAME), found, line

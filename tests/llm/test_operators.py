@@ -299,6 +299,18 @@ def test_toxicity_of_a_sample(spark):
     assert whole == pytest.approx(0.1, abs=0.05) and sampled == pytest.approx(0.1, abs=0.05)
 
 
+def test_toxicity_dictionaries_stay_small():
+    """However many pieces stand out, the dictionaries stay below the size at which matches get lost, and the first pieces are known."""
+    r = random.Random(5)
+    bad = ["".join(r.choice("bcdfgklmnprstvz") + r.choice("aeiou") for _ in range(6)) for _ in range(2000)]
+    toxic = [prose(20, i) + " " + " ".join(r.sample(bad[:300], 40) + r.sample(bad, 200)) for i in range(200)]
+    first, second = toxicity.dictionaries(toxic, [prose(60, 10_000 + i) for i in range(400)])
+    assert max(len(first), len(second)) < 1 << 14
+    distance = toxicity.Distance(first, second)
+    known = first.split(toxicity.MARK)[-1][: -len(toxicity.FRAME)].decode()
+    assert distance.of(known)[0] > 0 >= distance.of("the")[0]
+
+
 # ---- 7 sharding
 
 
