@@ -74,23 +74,23 @@ def tsextend(x: TsFrame, back_to=None, up_to=None, mode: str = "growth", factor=
 
 
 def annual(x: TsFrame, method=None) -> TsFrame:
-    return convert(x, 1, method)
+    return convert(x, 1, method, strict=True)
 
 
 def semiannual(x: TsFrame, method=None) -> TsFrame:
-    return convert(x, 2, method)
+    return convert(x, 2, method, strict=True)
 
 
 def quarterly(x: TsFrame, method=None) -> TsFrame:
-    return convert(x, 4, method)
+    return convert(x, 4, method, strict=True)
 
 
 def monthly(x: TsFrame, method=None) -> TsFrame:
-    return convert(x, 12, method)
+    return convert(x, 12, method, strict=True)
 
 
 def daily(x: TsFrame, method=None) -> TsFrame:
-    return convert(x, 366, method)
+    return convert(x, 366, method, strict=True)
 
 
 def get_range(x: TsFrame, kind: str = "inner"):

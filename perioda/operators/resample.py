@@ -20,19 +20,19 @@ QUARTER_SPAN = {
 }
 
 
-def convert(x: TsFrame, freq: int | str, method: str | None = None) -> TsFrame:
+def convert(x: TsFrame, freq: int | str, method: str | None = None, strict: bool = False) -> TsFrame:
     """x at another frequency: lower needs a method (sum, nsum, average, naverage, stock, nstock), higher has repeat or
-    interp_begin, interp_center, interp_end; the same gives x."""
+    interp_begin, interp_center, interp_end; the same gives x. strict: a series without a complete lower period is an error at run time."""
     f = periods.frequency(freq)
     if f not in CONVERTIBLE or x.freq not in CONVERTIBLE:
         raise ValueError("only yearly, half-yearly, quarterly, monthly and daily series are converted")
     if f == x.freq:
         return x
-    return aggregate(x, f, method) if f < x.freq else disaggregate(x, f, method)
+    return aggregate(x, f, method, strict) if f < x.freq else disaggregate(x, f, method)
 
 
-def aggregate(x: TsFrame, f: int, method: str | None) -> TsFrame:
-    """Complete target periods only; stock and nstock need a period's last slot alone. A series without any is an error at run time."""
+def aggregate(x: TsFrame, f: int, method: str | None, strict: bool = False) -> TsFrame:
+    """Complete target periods only; stock and nstock need a period's last slot alone. A series without any goes, or with strict is an error at run time."""
     method = {"ave": "average", "nave": "naverage"}.get((method or "").lower(), (method or "").lower())
     if method not in ("sum", "nsum", "average", "naverage", "stock", "nstock"):
         raise ValueError("aggregation needs a method: sum, nsum, average, naverage, stock or nstock")
@@ -55,8 +55,10 @@ def aggregate(x: TsFrame, f: int, method: str | None) -> TsFrame:
     }[method]
     whole = F.bool_or("__end") if method in ("stock", "nstock") else F.count(F.lit(1)) == F.max("__n")
     made = df.groupBy(S, "__t2").agg(value.alias(V), whole.alias("__whole"))
-    some = F.bool_or("__whole").over(W.partitionBy(S))  # over a series' target periods: few rows
-    made = made.withColumn("__some", some).where(F.expr("if(not __some, raise_error(concat('series ', __series, ' has no complete period')), __whole)"))
+    if strict:
+        some = F.bool_or("__whole").over(W.partitionBy(S))  # over a series' target periods: few rows
+        made = made.withColumn("__some", some).where(F.expr("if(not __some, raise_error(concat('series ', __series, ' has no complete period')), true)"))
+    made = made.where("__whole")
     return TsFrame(made.select(S, F.col("__t2").alias(T), V), f, x.meta)
 
 

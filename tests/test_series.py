@@ -296,6 +296,6 @@ def test_lookups_and_errors(spark):
     far = TsFrame.of(spark, [1.0], (2010, 1), 4, "y")
     two = x.combine(x.rename({"x": "z"}))
     for wrong in (lambda: x.at_period(1999, 4).collect(), lambda: x.period_at(5).collect(), lambda: x.assign_range((2000, 1), (2000, 1), {"no": 1.0}).values(),
-                  lambda: x.combine_values(far, lambda a, b: a + b).values(), lambda: two.combine_values(x, lambda a, b: a + b).values(), lambda: convert(far, 1, "sum").values()):
+                  lambda: x.combine_values(far, lambda a, b: a + b).values(), lambda: two.combine_values(x, lambda a, b: a + b).values(), lambda: convert(far, 1, "sum", strict=True).values()):
         with pytest.raises(Exception):
             wrong()
