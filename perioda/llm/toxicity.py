@@ -1,7 +1,8 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries share a base of ordinary words; one ends in pieces of text that toxic documents hold far more
-often than others, the other in as much further ordinary text. A window, a word in a fixed frame that both dictionaries
+Two zstandard dictionaries share a base of ordinary words. zstandard trains the rest: of the toxic one on the words of toxic documents
+that begin with a piece of text which those hold far more often than others, of the ordinary one on the words of ordinary documents
+that begin like such words. A window, a word in a fixed frame that both dictionaries
 know, is compressed with each. The pair (bytes that the toxic dictionary saves, bytes that it still needs) is the window's class: a word that
 is known whole differs from one that only begins alike. Classes depend on the word alone, so each Python worker remembers them.
 Calibration, on labelled documents that the dictionaries have not seen, gives each class its evidence, the logarithm of the ratio of
@@ -35,7 +36,8 @@ MATCH = 6
 BASE_BYTES, MAX_PIECES = 6_000, 600
 SPECIAL_BYTES, LIKE_BYTES = 5_500, 3_000  # with the base under 16 KB: zstandard misses matches in larger ones at these settings
 STEMS = range(4, 10)
-EXTENSIONS, LIKE = 10, 2000
+LIKE = 2000
+TRAIN_K, TRAIN_D = 64, 8  # of zstandard's training: bytes of a segment and of what is counted
 EVIDENCE, LIFT, LEAST = 15.0, 15.0, 5  # of a piece: log-likelihood ratio, frequency ratio, toxic documents
 SLOT_BITS = 22
 REMEMBERED, LONGEST_KEPT = 200_000, 64  # words, and bytes of one, that a worker keeps
@@ -144,8 +146,25 @@ def _marked(words: list[str], most: int) -> bytes:
     return b"".join(reversed(out))
 
 
+def _trained(samples: list[bytes], most: int) -> bytes:
+    """Dictionary of at most `most` bytes that zstandard trains on the samples; empty where they are too few for it."""
+    try:
+        return zstandard.train_dictionary(most, [x for x in samples if len(x) >= TRAIN_D], k=TRAIN_K, d=TRAIN_D).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
+def _marked_words(texts: list[str], kept: set[str]) -> list[list[bytes]]:
+    """Of each text its distinct words that are in kept, behind marks."""
+    return [[MARK + w.encode() for w in sorted(kept.intersection(x.strip(EDGES) for x in tokens(t)))] for t in texts]
+
+
 def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """Contents of the two dictionaries, from documents of each class."""
+    """Contents of the two dictionaries, from documents of each class.
+
+    zstandard trains the toxic one on the words of toxic documents that begin with a piece, and the ordinary one's part about
+    such words on the words of ordinary documents that begin alike. Where samples are too few to train on, the words are listed.
+    """
     toxic, ordinary = unlike(toxic), unlike(ordinary)
     t, n, m = _frequencies(toxic, LEAST, True), len(toxic), len(ordinary)
     o, common_words = _among(ordinary, t), _frequencies(ordinary, LEAST, False)
@@ -156,11 +175,12 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
         stem = w.rstrip("*")
         if len(pieces) < MAX_PIECES and not any(stem.startswith(p) or p.startswith(stem) for p in pieces):
             pieces.append(stem)
-    longer = [w for p in pieces for w in sorted((w for w in t if w.startswith(p) and w[-1] != "*"), key=lambda w: (-t[w], w))[:EXTENSIONS]] if pieces else []
-    special = _marked(list(dict.fromkeys(pieces + longer)), SPECIAL_BYTES)
+    starts = tuple(pieces)
+    whole = {w for w in t if w[-1:] != "*" and w.startswith(starts)}
+    special = _trained([x for own in _marked_words(toxic, whole) for x in own], SPECIAL_BYTES) or _marked(pieces, SPECIAL_BYTES)
     near = {p[:3] for p in pieces}
     words = [w for w, _ in sorted(common_words.items(), key=lambda x: (-x[1], x[0]))[:60_000] if w]
-    like = [w for w in words if w[:3] in near and not w.startswith(tuple(pieces))][:LIKE]
+    like = [w for w in words if w[:3] in near and not w.startswith(starts)][:LIKE]
     words = [w.encode() for w in words[:20_000]]
     base, rest, size = [], [], 0
     for w in words:
@@ -168,7 +188,7 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
         size += len(w) + 1
     filler = (b" ".join(rest) + b" " * len(special))[: len(special)]
     common = b" ".join(reversed(base))
-    both = _marked(like, LIKE_BYTES)  # ordinary words that begin like a toxic piece: the ordinary dictionary knows them too
+    both = _trained([b" ".join(own) for own in _marked_words(ordinary, set(like))], LIKE_BYTES) or _marked(like, LIKE_BYTES)  # ordinary words that begin like a toxic piece: the ordinary dictionary knows them too
     return common + b" " * (len(both) + 1) + b" " + special + FRAME, common + b" " + filler + b" " + both + b" " + FRAME
 
 

@@ -311,6 +311,23 @@ def test_toxicity_dictionaries_stay_small():
     assert not any(distance.of(w)[0] >= 4 for w in prose(200, 77).split())
 
 
+def test_toxicity_dictionaries_are_trained(monkeypatch):
+    """zstandard trains both, on words of either class; samples that are too few give listed words instead, with like classes."""
+    r = random.Random(6)
+    bad = ["".join(r.choice("bcdfgklmnprstvz") + r.choice("aeiou") for _ in range(6)) for _ in range(40)]
+    alike = [w[:3] + "".join(r.choice("hjqwxy") for _ in range(5)) for w in bad]
+    toxic = [prose(20, i) + " " + " ".join(r.sample(bad, 8)) for i in range(300)]
+    ordinary = [prose(30, 20_000 + i) + " " + " ".join(r.sample(alike, 8)) for i in range(500)]
+    made = {}
+    for how in ("trained", "listed"):
+        if how == "listed":
+            monkeypatch.setattr(toxicity, "_trained", lambda samples, most: b"")
+        distance = toxicity.Distance(*toxicity.dictionaries(toxic, ordinary))
+        made[how] = [sum(distance.of(w)[0] >= 4 for w in words) for words in (bad, alike)]
+    assert all(known >= 38 and other == 0 for known, other in made.values())
+    assert toxicity._trained([], 100) == toxicity._trained([b"x"], 100) == b""
+
+
 # ---- 7 sharding
 
 
