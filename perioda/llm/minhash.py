@@ -6,7 +6,8 @@
 3. Bands of ROWS bins are buckets; of buckets with the same nodes one is kept. In a bucket each node is paired with hubs only, the most central nodes: a bucket of m nodes gives at most
    m pairs in the first round and HUBS[r] * m in later ones, whatever m is.
 4. Pairs are confirmed on their full sets.
-5. Links are merged to components by rounds of stars. Buckets that hold one component are dropped; the others get further hubs, and only
+5. Links are merged to components by rounds of stars. A node's component and its buckets stand in one row, which is all that a round
+   rewrites. Buckets that hold one component are left out; the others get further hubs, and only
    pairs across components are tried. Hubs only spare work: nodes of buckets that hold several components after the last round are
    joined by prefixes of their sets in a common order, rare shingles first. That leaves out only pairs of one component and pairs that
    sizes or positions rule out exactly; all others are confirmed, so no link within a bucket is lost.
@@ -20,7 +21,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
@@ -149,18 +150,28 @@ def distinct_buckets(spread: DataFrame) -> DataFrame:
     return spread.join(shared, "bucket").select("bucket", F.col("id").alias("node"), "size")
 
 
-def candidate_pairs(buckets: DataFrame, hubs_of: int, round_: int) -> DataFrame:
+def in_buckets(held: DataFrame) -> DataFrame:
+    """(bucket, node, central, comp): a row for each bucket of each node of held (node, central, comp, buckets)."""
+    return held.select(F.explode("buckets").alias("bucket"), "node", "central", "comp")
+
+
+def ends() -> list[Column]:
+    """The least and the greatest component of a bucket: they differ where it holds several."""
+    return [F.min("comp").alias("__lo"), F.max("comp").alias("__hi")]
+
+
+def candidate_pairs(held: DataFrame, hubs_of: int, round_: int) -> DataFrame:
     """Distinct (a, b, ca, cb), a < b, of nodes that share a bucket and of which one is a hub there; ca and cb are their components.
 
-    buckets: (bucket, node, central, comp), each with several components; only pairs across components. A hub is the most central node of one of
+    held: (node, central, comp, buckets). Only buckets with several components, and only pairs across them. A hub is the most central node of one of
     `hubs_of` hash classes of a bucket. Central is a node that shares many buckets with many others: of copies with more or fewer
     changes, the least changed. Hubs are combined on the map side; the join back on the bucket is one that AQE may split.
     """
-    best = []
+    best, buckets = [], in_buckets(held)
     for k in range(hubs_of):
         own = F.struct("central", (-F.col("node")).alias("n"), "node", "comp")
         best.append(F.max(own if hubs_of == 1 else F.when(F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(hubs_of)) == k, own)).alias(f"h{k}"))
-    hubs = buckets.groupBy("bucket").agg(*best)
+    hubs = buckets.groupBy("bucket").agg(*best, *ends()).where("__lo < __hi")
     hubs = hubs.select("bucket", F.filter(F.array(*[f"h{k}" for k in range(hubs_of)]), lambda h: h.isNotNull()).alias("hubs"))
     met = buckets.join(hubs, "bucket").withColumn("h", F.explode(F.filter("hubs", lambda h: h["comp"] != F.col("comp"))))
     first = F.col("node") < F.col("h.node")
@@ -168,10 +179,11 @@ def candidate_pairs(buckets: DataFrame, hubs_of: int, round_: int) -> DataFrame:
     return met.select(pick(F.col("node"), F.col("h.node")).alias("a"), pick(F.col("h.node"), F.col("node")).alias("b"), pick(F.col("comp"), F.col("h.comp")).alias("ca"), pick(F.col("h.comp"), F.col("comp")).alias("cb")).distinct()
 
 
-def unfinished(buckets: DataFrame) -> DataFrame:
-    """The buckets that hold several components: where only one is left, no pair is tried any more."""
-    several = buckets.groupBy("bucket").agg(F.min("comp").alias("__lo"), F.max("comp").alias("__hi")).where("__lo < __hi").select("bucket")
-    return buckets.join(several, "bucket", "left_semi")
+def unfinished(held: DataFrame) -> DataFrame:
+    """(id, comp) of the nodes of buckets that hold several components: where only one is left, no pair is tried any more."""
+    buckets = in_buckets(held)
+    several = buckets.groupBy("bucket").agg(*ends()).where("__lo < __hi").select("bucket")
+    return buckets.join(several, "bucket", "left_semi").select(F.col("node").alias("id"), "comp").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
@@ -313,35 +325,28 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     sketch = settle(sketches(docs, text=text, key=key, width=width), "near-sketches")
     usable = sketch.where("n > 0 and id is not null")
     nodes = settle(usable.groupBy("n", "h1", "h2").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "near-nodes")
-    buckets = settle(distinct_buckets(nodes.select("id", F.explode("bands").alias("bucket"))), "near-buckets")
-    central = buckets.groupBy("node").agg(F.sum("size").alias("central"))
-    buckets = settle(buckets.join(central, "node").select("bucket", "node", "central", F.col("node").alias("comp")), "near-central")
-    wanted = buckets.select(F.col("node").alias("id")).distinct()
-    sets = settle(full_sets(docs, wanted, text=text, key=key, width=width), "near-sets")
-    labels = None  # (node, comp) of the nodes that have links
+    buckets = distinct_buckets(nodes.select("id", F.explode("bands").alias("bucket")))
+    held = buckets.groupBy("node").agg(F.sum("size").alias("central"), F.collect_list("bucket").alias("buckets"))  # BANDS buckets at most
+    held = settle(held.select("node", "central", F.col("node").alias("comp"), "buckets"), "near-held")
+    sets = settle(full_sets(docs, held.select(F.col("node").alias("id")), text=text, key=key, width=width), "near-sets")
 
     def merge(pairs: DataFrame, r: int) -> bool:
-        """Components are merged along the pairs that are links; buckets and labels follow. False without any link."""
-        nonlocal buckets, labels
+        """Components are merged along the pairs that are links, in held. False without any link."""
+        nonlocal held
         links = settle(confirmed(pairs, sets, least).distinct(), f"near-links-{r}")
         if links.isEmpty():
             return False
-        moved = settle(components(links, f"near-components-{r}").select(F.col("node").alias("comp"), F.col("comp").alias("__to")), f"near-moved-{r}")
-        new = moved.select(F.col("comp").alias("node"), F.col("__to").alias("comp"))
-        if labels is not None:
-            new = labels.join(moved, "comp", "left").select("node", F.coalesce("__to", "comp").alias("comp")).union(new).distinct()
-        labels = settle(new, f"near-labels-{r}")
-        if r < len(HUBS):
-            buckets = settle(unfinished(buckets.join(moved, "comp", "left").select("bucket", "node", "central", F.coalesce("__to", "comp").alias("comp"))), f"near-buckets-{r}")
+        moved = components(links, f"near-components-{r}").select(F.col("node").alias("comp"), F.col("comp").alias("__to"))
+        held = settle(held.join(moved, "comp", "left").select("node", "central", F.coalesce("__to", "comp").alias("comp"), "buckets"), f"near-held-{r}")
         return True
 
     for r, hubs_of in enumerate(HUBS):
-        if buckets.isEmpty() or not merge(candidate_pairs(buckets, hubs_of, r), r) and r:
+        if held.isEmpty() or not merge(candidate_pairs(held, hubs_of, r), r) and r:
             break
-    if not buckets.isEmpty():
-        unsettled = settle(sets.join(buckets.select(F.col("node").alias("id"), "comp").distinct(), "id"), "near-unsettled")
+    unsettled = settle(sets.join(unfinished(held), "id"), "near-unsettled")
+    if not unsettled.isEmpty():
         merge(prefix_pairs(prefixes(unsettled, least), least), len(HUBS))
-    labels = nodes.select(F.col("id").alias("node"), F.col("id").alias("comp")).limit(0) if labels is None else labels
+    labels = held.select("node", "comp")
     heads = nodes.select("n", "h1", "h2", F.col("id").alias("node"))
     rows = sketch.join(heads, ["n", "h1", "h2"], "left").join(labels, "node", "left")
     own = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.coalesce("comp", "node")).otherwise(F.col("id"))

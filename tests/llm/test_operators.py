@@ -461,6 +461,26 @@ def test_near_duplicate_edits_of_one_template(spark):
     assert len({c for _, c, _ in got.values()}) == 151
 
 
+def test_near_duplicate_components_stand_once_a_node(spark, monkeypatch):
+    """Copies that share most of their buckets: what a round rewrites has a row for each node, not for each bucket of each."""
+    r, base, rows, written = random.Random(6), prose(300, 78).split(), [], {}
+    for g in range(60):
+        w = list(base)
+        w[r.randrange(300)] = f"new{g}"
+        rows.append((g, " ".join(w)))
+
+    def counted(df, name, settle=minhash.settle):
+        out = settle(df, name)
+        if {"node", "comp"} <= {*out.columns} and "token" not in out.columns:
+            written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "settle", counted)
+    got = rows_of(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, least=Fraction(85, 100)), "n_shingles", "component_id", "kept")
+    assert got == brute_components(rows, 3, Fraction(85, 100))
+    assert written and max(written.values()) <= 60
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [(7, BASE), (7, BASE), (None, BASE), (None, None), (3, BASE)]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
