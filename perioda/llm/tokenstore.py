@@ -78,6 +78,10 @@ class Encoder:
         """Ids of each text, as the library gives them."""
         return [np.array(e.ids, dtype=self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def ended(self, keys_: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, count) of the ends of documents."""
+        return np.array([int(k[2:]) for k in keys_], self.kind), np.arange(len(keys_)), np.ones(len(keys_), np.int64)
+
     def spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         """(ids, first, count) of each word after a space: encoded side by side, as only a word's first token holds a space."""
         ids = np.concatenate(self.ids([" " + " ".join(words[i : i + LINES]) for i in range(0, len(words), LINES)]))
@@ -104,15 +108,17 @@ class Encoder:
 
     def learn(self, keys_: list[str]) -> None:
         """Keep the ids of keys that are not kept yet."""
-        words, heads, other = [], [], []
+        words, heads, ends, other = [], [], [], []
         for k in keys_:
-            if k and k[0] > " " and not k[-1].isspace():
+            if k[:2] == "\0\0":
+                ends.append(k)
+            elif k and k[0] > " " and not k[-1].isspace():
                 words.append(k)
             elif self.newline is not None and k and not k[-1].isspace() and (k[:2] == "\n\0" and len(k) > 2 or k[0] == "\0" and len(k) > 1 and not k[1].isspace()):
                 heads.append(k)
             else:
                 other.append(k)
-        groups = [(names, *(how(names) or self.alone(names))) for names, how in ((words, self.spaced), (heads, self.lined), (other, self.alone)) if names]
+        groups = [(names, *(how(names) or self.alone(names))) for names, how in ((words, self.spaced), (heads, self.lined), (ends, self.ended), (other, self.alone)) if names]
         for names, ids, first, count in groups:
             n, m = len(self.slots), len(self.slots) + len(names)
             self.blob = _grown(self.blob, self.used, len(ids))
@@ -124,22 +130,21 @@ class Encoder:
             self.held += len(names) * ENTRY + sum(map(len, names)) + ids.nbytes
 
     def prune(self) -> None:
-        """Drop what fewer batches have met, until half of the limit is free."""
+        """Drop what fewest batches have met, until half of the limit is free; of what as many have met, the later."""
         n = len(self.slots)
-        met, keys_ = self.met[:n], list(self.slots)
-        least = 2
-        while (kept := np.flatnonzero(met >= least)).size * ENTRY > self.limit // 4:
-            least *= 2
+        met, keys_, old = self.met[:n], list(self.slots), self.blob
+        order = np.argsort(-met, kind="stable")
+        sizes = ENTRY + np.fromiter(map(len, keys_), np.int64, n)[order] + self.count[order] * self.blob.itemsize
+        kept = np.sort(order[: np.searchsorted(np.cumsum(sizes), self.limit // 2, "right")])
         names = [keys_[i] for i in kept.tolist()]
-        count, first, old = self.count[kept], self.first[kept], self.blob
+        count, first, met = self.count[kept], self.first[kept], np.maximum(met[kept] // 2, 1)
         at = np.cumsum(count) - count
         ids = old[np.repeat(first - at, count) + np.arange(int(count.sum()))]
-        size = ENTRY * len(names) + sum(map(len, names)) + ids.nbytes
         self.forget()
-        if size <= self.limit // 2:
-            self.blob, self.used, self.held = ids, len(ids), size
+        if names:
+            self.blob, self.used, self.held = ids, len(ids), ENTRY * len(names) + sum(map(len, names)) + ids.nbytes
             self.slots = dict(zip(names, range(len(names))))
-            self.first, self.count, self.met = at, count, np.ones(len(names), np.int32)
+            self.first, self.count, self.met = at, count, met
 
     def places(self, keys_: list[str]) -> np.ndarray:
         """Slots of distinct keys. When what is kept grows past the limit, what few batches have met is dropped first."""
@@ -155,24 +160,24 @@ class Encoder:
         return at
 
     def encode(self, texts: pa.Array, end: int) -> pa.Array:
-        """Packed ids of each text (null: empty) with the end id. Texts are cut into pieces, distinct pieces are looked up once, and ids are
-        gathered by position; texts in which white space meets, or that hold an added token, are encoded whole."""
+        """Packed ids of each text (null: empty) with the end id. Texts are cut into pieces, the last stands for the end. Distinct pieces are
+        looked up once, and their packed ids are put in a row; texts in which white space meets, or that hold an added token, are encoded whole."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         odd = np.asarray(pc.or_(pc.match_substring_regex(texts, MEET_RE2), pc.match_substring_regex(texts, self.added.as_py())))
-        plain = texts.filter(pa.array(~odd))
-        cut = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), plain, pa.scalar("", pa.large_string())), "\n", " \n\0"), " ")
-        words = cut.flatten().dictionary_encode()
-        slots = self.places(words.dictionary.to_pylist())
-        at = slots[np.asarray(words.indices)] if len(slots) else np.zeros(0, np.int64)
-        each = self.count[at]
-        upto = np.concatenate(([0], np.cumsum(each)))
-        ends = upto[np.asarray(cut.offsets) - cut.offsets[0].as_py()]  # ids before each document, and all
-        n = len(plain)
-        out = np.full(int(ends[-1]) + n, end, dtype=self.kind)
-        source = np.repeat(self.first[at] - upto[:-1], each) + np.arange(upto[-1])
-        out[np.arange(upto[-1]) + np.repeat(np.arange(n), np.diff(ends))] = self.blob[source]
-        offsets = (ends + np.arange(n + 1)) * self.width
-        found = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)])
+        plain, found = texts.filter(pa.array(~odd)), pa.array([], pa.large_binary())
+        if n := len(plain):
+            begin, last, between = (pa.scalar(x, pa.large_string()) for x in ("\0", f" \0\0{end}", ""))
+            whole = pc.binary_join_element_wise(begin, plain, last, between)
+            cut = pc.split_pattern(pc.replace_substring(whole, "\n", " \n\0"), " ")
+            words = cut.flatten().dictionary_encode()
+            slots = self.places(words.dictionary.to_pylist())
+            each = self.count[slots]
+            upto = np.concatenate(([0], np.cumsum(each)))
+            ids = self.blob[np.repeat(self.first[slots] - upto[:-1], each) + np.arange(upto[-1])]
+            pieces = pa.Array.from_buffers(pa.large_binary(), len(slots), [None, pa.py_buffer(upto * self.width), pa.py_buffer(ids)]).take(words.indices)
+            places = np.frombuffer(pieces.buffers()[1], np.int64)
+            ends = places[np.asarray(cut.offsets) - cut.offsets[0].as_py()]
+            found = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends), pieces.buffers()[2]])
         if odd.any():
             tail = end.to_bytes(self.width, "little")
             whole = pa.array([x.tobytes() + tail for x in self.ids(texts.filter(pa.array(odd)).to_pylist())], pa.large_binary())

@@ -9,6 +9,7 @@ from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -397,6 +398,21 @@ def test_chunks_follow_content():
     assert ends(np.zeros(9000, np.uint16))[-1] == 9000
 
 
+def test_token_store_keeps_the_pieces_that_most_batches_met():
+    """Too many pieces met twice for what may be kept: the most met stay, and every text is encoded as the library does."""
+    encoder = tokenstore.Encoder(public_tokenizers.path("byte_bpe_50k.json"), remembered=1 << 17)
+    often, twice = prose(60, 21).split(), [f"w{i}" for i in range(300)]
+    batches = [" ".join(often), " ".join(often + twice), " ".join(twice + often), " ".join(f"once{i}" for i in range(400))]
+    for text in batches:
+        (got,) = encoder.encode(pa.array([text]), 0).to_pylist()
+        assert np.frombuffer(got, encoder.kind).tolist() == ids_of([text])[0]
+    encoder.prune()
+    assert set(often[1:]) <= set(encoder.slots)
+    assert 0 < encoder.held <= encoder.limit // 2
+    texts = [*batches, None, "", " ", "a b\n", "\nab c", "x" * 300]
+    assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(pa.array(texts), 0).to_pylist()] == ids_of(texts)
+
+
 # ---- 9 near duplicates
 
 
